@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html import extract_main_text
 from .media import media_columns
 from .packing import pack
 from .secrets import scan_secrets
 from .shared import table
+from .sql import SQL
+from .warc import archive_and_read
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -24,9 +27,18 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return scan_secrets(table(spark, folder, "documents"))
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_and_read(table(spark, folder, "pages"))
+
+
 def op7_media(spark: SparkSession, folder: str) -> DataFrame:
     return media_columns(table(spark, folder, "documents"), tile_side=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_secrets, op7_media)}
-SQL: dict[str, str] = {}
+def op9_html(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(table(spark, folder, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_secrets, op5_warc, op7_media, op9_html)}
+
+__all__ = ["QUERIES", "SQL", "tokenizer_path"]
