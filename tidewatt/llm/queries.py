@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .html import extract_main_text
+from .lines import dedup_lines
 from .media import media_columns
 from .packing import pack
 from .secrets import scan_secrets
@@ -23,6 +25,11 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op3_lines(spark: SparkSession, folder: str) -> DataFrame:
+    kept = dedup_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return scan_secrets(table(spark, folder, "documents"))
 
@@ -39,6 +46,6 @@ def op9_html(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_secrets, op5_warc, op7_media, op9_html)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_lines, op4_secrets, op5_warc, op7_media, op9_html)}
 
 __all__ = ["QUERIES", "SQL", "tokenizer_path"]
