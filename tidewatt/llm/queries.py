@@ -11,6 +11,7 @@ from .media import media_columns
 from .packing import pack
 from .secrets import scan_secrets
 from .shared import table
+from .simhash import near_duplicates
 from .sql import SQL
 from .warc import archive_and_read
 
@@ -42,10 +43,14 @@ def op7_media(spark: SparkSession, folder: str) -> DataFrame:
     return media_columns(table(spark, folder, "documents"), tile_side=16)
 
 
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op9_html(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_lines, op4_secrets, op5_warc, op7_media, op9_html)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_lines, op4_secrets, op5_warc, op7_media, op8_simhash, op9_html)}
 
 __all__ = ["QUERIES", "SQL", "tokenizer_path"]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,13 +48,21 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that long texts fit in memory."""
+_shipped: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch and send this package to the executors, once an application."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if (app := spark.sparkContext.applicationId) not in _shipped:
+        home = Path(__file__).parents[1]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{home.name}", "zip", home.parent, home.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
 
 
 def map_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
     return df.mapInArrow(task, schema)
 
 
