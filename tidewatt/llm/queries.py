@@ -9,6 +9,7 @@ from .html import extract_main_text
 from .lines import dedup_lines
 from .media import media_columns
 from .packing import pack
+from .quality import fit, held_out, score
 from .secrets import scan_secrets
 from .shared import table
 from .simhash import near_duplicates
@@ -26,6 +27,16 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+#: A document is predicted good from this score on.
+GOOD = 0.3
+
+
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    scored = score(documents, fit(documents, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op3_lines(spark: SparkSession, folder: str) -> DataFrame:
     kept = dedup_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -51,6 +62,6 @@ def op9_html(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_lines, op4_secrets, op5_warc, op7_media, op8_simhash, op9_html)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_lines, op4_secrets, op5_warc, op7_media, op8_simhash, op9_html)}
 
 __all__ = ["QUERIES", "SQL", "tokenizer_path"]

@@ -73,3 +73,23 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def add_columns(df: DataFrame, text_col: str, compute: Callable[[list[str]], list[pa.Array]], added: dict[str, str]) -> DataFrame:
+    """``df`` with columns computed from whole texts, batch by batch; a null text counts as empty.
+
+    ``added`` maps the new names to Spark types; they replace columns of the
+    same name.  All other columns stay as they are, the text too.
+    """
+    others = [c for c in df.columns if c != text_col and c not in added]
+    packed = df.select(F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("rest"), F.col(f"`{text_col}`").alias("text"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = compute([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], ["rest", "text", *(f"n{i}" for i in range(len(new)))])
+
+    rest = packed.schema["rest"].dataType.simpleString()
+    done = map_arrow(packed, task, ", ".join([f"rest {rest}", "text string", *(f"n{i} {kind}" for i, kind in enumerate(added.values()))]))
+    kept = [F.col("text").alias(c) if c == text_col else F.col(f"rest.c{others.index(c)}").alias(c) for c in df.columns if c not in added]
+    return done.select(*kept, *(F.col(f"n{i}").alias(c) for i, c in enumerate(added)))
