@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import leaked_items
 from .html import extract_main_text
 from .lines import dedup_lines
 from .media import media_columns
@@ -62,6 +63,10 @@ def op9_html(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_lines, op4_secrets, op5_warc, op7_media, op8_simhash, op9_html)}
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_lines, op4_secrets, op5_warc, op7_media, op8_simhash, op9_html, op10_decontamination)}
 
 __all__ = ["QUERIES", "SQL", "tokenizer_path"]
