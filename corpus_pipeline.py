@@ -1,2 +1,57 @@
-STAGES = []
-def run(spark, sf_dir): ...
+"""From raw documents to packed training windows: five stages, each a corpus operator."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatt.llm.decontaminate import mark_leaks
+from tidewatt.llm.lines import dedup_lines
+from tidewatt.llm.packing import pack
+from tidewatt.llm.quality import fit, score
+from tidewatt.llm.queries import GOOD, tokenizer_path
+from tidewatt.llm.shared import stage, table
+from tidewatt.llm.simhash import near_duplicates
+
+#: Near-duplicates: shingles of five words, alike at 0.8.  Their fingerprints
+#: differ in 9.7 bits on average at that similarity and rarely in over 20.
+WORDS, RADIUS, SIMILARITY = 5, 20, 0.8
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), score_col="__score")
+    return scored.filter(F.col("__score") >= GOOD).select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document holds; their length is counted anew."""
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group, once."""
+    groups = near_duplicates(docs, words=WORDS, radius=RADIUS, similarity=SIMILARITY)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
+    return docs.join(first, docs.doc_id.eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return mark_leaks(docs, table(spark, sf_dir, "benchmark"), leaks_col="__leaks").filter(F.size("__leaks") == 0).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2048 tokens, each with its mixture of sources."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicate), ("benchmark decontamination", decontamination), ("packing", packing)]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,7 @@ with an error budget that starts at 0 and grows by one a block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .perfect_hash import mix
 from .shared import map_arrow, stage, texts
 
 #: About so many fingerprints are joined in one group; larger groups that hold this many times more are split.
@@ -25,29 +26,58 @@ GROUP, SPLIT = 2000, 8192
 #: Node pairs of this many leaf pairs or fewer are compared outright.
 LEAVES = 64
 PIECE = 100_000
+#: Bins of a sketch: the seven high bits of a hash choose one.
+SKETCH = 128
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """64 bits, each set if it is set in over half the hashes of the text's word shingles."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; of all words if they are fewer; of none for no words."""
     found = text.encode().lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     if len(found) <= words:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     hashes = [xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
-    return majority(np.array(hashes, np.uint64))
+    return np.array(hashes, np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
+def fingerprint(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half the hashes; zero for none."""
     counts = np.zeros(64, np.int64)
     for at in range(0, hashes.size, 65536):
         counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > hashes.size, bitorder="little").view(np.uint64)[0])
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """The smallest hash of each of ``SKETCH`` bins, as one byte; 0 for an empty bin."""
+    out = np.zeros(SKETCH, np.uint8)
+    if hashes.size:
+        mixed = np.sort(mix(hashes, 11))
+        bins = (mixed >> np.uint64(57)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+        out[bins[first]] = 1 + mixed[first] % np.uint64(255)
+    return out.tobytes()
+
+
+def least_shingles(hashes: np.ndarray) -> list[int]:
+    """The least hash in each eighth of the hash space; one fixed key for no shingles."""
+    if not hashes.size:
+        return [0]
+    mixed = np.sort(mix(hashes, 13))
+    part = mixed >> np.uint64(61)
+    return mixed[np.concatenate([[True], part[1:] != part[:-1]])].view(np.int64).tolist()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimated Jaccard similarity of rows of sketches."""
+    both, either = ((a == b) & (a > 0)).sum(axis=1), ((a > 0) | (b > 0)).sum(axis=1)
+    return np.where(either > 0, both / np.maximum(either, 1), 1.0)
+
+
 # Trie join ------------------------------------------------------------------
 
 
@@ -81,24 +111,26 @@ class Labels:
                 self.of = up
 
 
-def trie_links(values: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
-    """The label of each value: values linked within the error budgets share one.
+def trie_links(values: np.ndarray, pairs: np.ndarray, radius: int, budgets: np.ndarray | None = None, sketches: np.ndarray | None = None, similarity: float = 0.0) -> np.ndarray:
+    """The label of each value: values linked by the traversal share one.
 
-    ``values`` are distinct rotated fingerprints in order.  ``side`` is all 0
-    for a self-join; otherwise only values of different sides are compared.
-    A pair of nodes that already hold one component is passed over.
+    ``values`` are fingerprints, in order within each trie.  A row of
+    ``pairs`` is a pair of root nodes: the ranges of two tries, or twice the
+    range of one, and 0 for the bits that differ so far.  A pair of nodes that
+    already hold one component is passed over.  ``budgets`` are the most
+    differing bits for each depth, ``radius`` if there are none.  With
+    ``sketches`` a link needs the similarity that they show, too.
     """
-    n, budgets = values.size, depth_budgets(radius)
-    labels = Labels(n)
-    cross = bool(side.any())
-    order = np.argsort(side, kind="stable")
-    values, middle = values[order], int((side == 0).sum())
-    if not cross:
-        near = np.flatnonzero(np.bitwise_count(values[1:] ^ values[:-1]) <= radius)
-        labels.join(near, near + 1)
+    labels = Labels(values.size)
+    budgets = np.full(65, radius) if budgets is None else budgets
+    link = lambda a, b: _link(values, labels, a, b, radius, sketches, similarity)
+    own = pairs[(pairs[:, 0] == pairs[:, 2]) & (pairs[:, 1] - pairs[:, 0] > 1)]
+    if own.size:
+        sizes = own[:, 1] - own[:, 0] - 1
+        first = np.repeat(own[:, 0] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        link(first, first + 1)
     ones: dict[int, np.ndarray] = {}
-    first = np.array([[0, middle, middle, n, 0]]) if cross else np.array([[0, n, 0, n, 0]])
-    stack = [(0, first)]
+    stack = [(0, pairs)]
     while stack:
         depth, pairs = stack.pop()
         changes = np.concatenate([[0], np.cumsum(labels.of[1:] != labels.of[:-1])])
@@ -106,11 +138,9 @@ def trie_links(values: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
         same = (changes[ah - 1] == changes[al]) & (changes[bh - 1] == changes[bl]) & (labels.of[al] == labels.of[bl])
         pairs = pairs[~same]
         al, ah, bl, bh, errors = pairs.T
-        few = (ah - al) * (bh - bl) <= LEAVES
-        if depth == 64:
-            few[:] = True
+        few = (ah - al) * (bh - bl) <= (LEAVES if depth < 64 else np.inf)
         if few.any():
-            _compare(values, labels, pairs[few], radius)
+            _leaves(pairs[few], link)
             pairs = pairs[~few]
             al, ah, bl, bh, errors = pairs.T
         if not pairs.size:
@@ -124,22 +154,33 @@ def trie_links(values: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
         new = np.concatenate([make(al, am, bl, bm, errors), make(am, ah, bm, bh, errors), make(al, am, bm, bh, errors + 1), make(am, ah, bl, bm, errors + 1)[~twin]])
         new = new[(new[:, 0] < new[:, 1]) & (new[:, 2] < new[:, 3]) & (new[:, 4] <= budgets[depth + 1])]
         stack += [(depth + 1, new[at : at + PIECE]) for at in range(0, len(new), PIECE)]
-    out = np.empty(n, np.int64)
-    out[order] = order[labels.of]
-    return out
+    return labels.of
 
 
-def _compare(values: np.ndarray, labels: Labels, pairs: np.ndarray, radius: int) -> None:
-    """Join the leaves of node pairs that differ in at most ``radius`` bits."""
+def _leaves(pairs: np.ndarray, link: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """Compare all leaves of node pairs, some at a time."""
     al, ah, bl, bh, _ = pairs.T
-    sizes, width = (ah - al) * (bh - bl), bh - bl
-    for at in range(0, len(pairs), PIECE):
-        part = slice(at, at + PIECE)
-        which = np.repeat(np.arange(at, min(at + PIECE, len(pairs))), sizes[part])
-        place = np.arange(which.size) - np.repeat(np.cumsum(sizes[part]) - sizes[part], sizes[part])
-        a, b = al[which] + place // width[which], bl[which] + place % width[which]
-        near = np.bitwise_count(values[a] ^ values[b]) <= radius
-        labels.join(a[near], b[near])
+    width = bh - bl
+    sizes = (ah - al) * width
+    ends = np.cumsum(sizes)
+    for at in range(0, int(ends[-1]) if ends.size else 0, 10 * PIECE):
+        place = np.arange(at, min(at + 10 * PIECE, int(ends[-1])))
+        which = np.searchsorted(ends, place, side="right")
+        place = place - (ends - sizes)[which]
+        link(al[which] + place // width[which], bl[which] + place % width[which])
+
+
+def _link(values: np.ndarray, labels: Labels, a: np.ndarray, b: np.ndarray, radius: int, sketches: np.ndarray | None, similarity: float) -> None:
+    near = np.bitwise_count(values[a] ^ values[b]) <= radius
+    a, b = a[near], b[near]
+    for at in range(0, a.size if sketches is not None else 0, PIECE):
+        x, y = a[at : at + PIECE], b[at : at + PIECE]
+        apart = labels.of[x] != labels.of[y]
+        x, y = x[apart], y[apart]
+        good = alike(sketches[x], sketches[y]) >= similarity
+        labels.join(x[good], y[good])
+    if sketches is None:
+        labels.join(a, b)
 
 
 def _rotate(values: np.ndarray, left: int) -> np.ndarray:
@@ -147,52 +188,127 @@ def _rotate(values: np.ndarray, left: int) -> np.ndarray:
     return values if not left else (values << np.uint64(left)) | (values >> np.uint64(64 - left))
 
 
+def _chunked(rows: DataFrame, keys: list[str], cap: int) -> DataFrame:
+    """Split groups of over ``cap`` rows into chunks and give each pair of chunks the rows of both.
+
+    Adds the chunks ``i <= j`` of the pair, and ``side``, 1 for the rows of
+    chunk ``j`` of two.
+    """
+    large = stage(rows.groupBy(*keys).count().filter(F.col("count") > cap).select(*keys, F.ceil(F.col("count") / cap).cast("int").alias("chunks")), "large-groups")
+    rows = rows.join(large, keys, "left").withColumn("chunk", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+    return rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other"), "side": (F.col("chunk") > F.col("other")).cast("int")}).drop("chunks", "chunk", "other")
+
+
 def fingerprint_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Edges ``u, v`` that connect the distinct ``fp`` of ``nodes`` as all pairs within ``radius`` would."""
-    starts = [0, *block_ends(radius)[:-1]]
+    """Edges ``u, v`` that connect the ``node`` of ``nodes`` as all pairs of ``fp`` within the radius would."""
+    starts, budgets = [0, *block_ends(radius)[:-1]], depth_budgets(radius)
     count = nodes.count()
     bits = min(block_ends(radius)[0], max(0, (count // GROUP).bit_length()))
-    cap = max(SPLIT, 4 * (count >> bits))
     turned = F.explode(F.array(*(F.struct(F.lit(i).alias("turn"), (F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", 64 - s)) if s else F.col("fp")).alias("value")) for i, s in enumerate(starts)))).alias("r")
-    rows = nodes.select(turned).select("r.turn", "r.value", (F.shiftrightunsigned("r.value", 64 - bits) if bits else F.lit(0)).cast("int").alias("bucket"))
-    large = rows.groupBy("turn", "bucket").count().filter(F.col("count") > cap).select("turn", "bucket", F.ceil(F.col("count") / cap).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("value"), F.coalesce("chunks", F.lit(1))).cast("int")
-    rows = rows.join(large, ["turn", "bucket"], "left").withColumn("chunk", chunk)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-    rows = rows.select("turn", "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "value", (F.col("chunk") > F.col("other")).alias("side"))
+    rows = nodes.select("node", turned).select("node", "r.turn", "r.value", (F.shiftrightunsigned("r.value", 64 - bits) if bits else F.lit(0)).cast("int").alias("bucket"))
 
     def links(table: pa.Table) -> pa.Table:
-        values, side = table.column("value").to_numpy().view(np.uint64), table.column("side").to_numpy().astype(np.int8)
-        order = np.argsort(values)
-        values, side = values[order], side[order]
-        labels = trie_links(values, side, radius)
-        back = _rotate(values, 64 - starts[table.column("turn")[0].as_py()]).view(np.int64)
-        moved = labels != np.arange(labels.size)
-        return pa.table({"u": back[moved], "v": back[labels[moved]]})
-
+        values, nodes, side = (table.column(c).to_numpy() for c in ("value", "node", "side"))
+        values = values.view(np.uint64)
+        order = np.lexsort((values, side))
+        values, nodes, middle, n = values[order], nodes[order], int((side == 0).sum()), len(side)
+        pair = [0, middle, middle, n, 0] if table.column("i")[0] != table.column("j")[0] else [0, n, 0, n, 0]
+        if pair[0] == pair[1] or pair[2] == pair[3]:
+            return pa.table({"u": nodes[:0], "v": nodes[:0]})
+        labels = trie_links(values, np.array([pair]), radius, budgets)
+        moved = labels != np.arange(n)
+        return pa.table({"u": nodes[moved], "v": nodes[labels[moved]]})
+
+    rows = _chunked(rows, ["turn", "bucket"], max(SPLIT, 4 * (count >> bits)))
     return rows.groupBy("turn", "bucket", "i", "j").applyInArrow(links, "u long, v long").distinct()
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+def alike_links(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Edges ``u, v`` between nodes of similar shingle sets, found by tries of those that share a least shingle.
+
+    Each node has the least shingle of each eighth of the hash space as a key.
+    Two sets of similarity s share none of them with a chance of (1 - s)^8,
+    2.6 in a million at 0.8.  The nodes of a key make one trie.
+    """
+    rows = nodes.select("node", "fp", "sketch", F.explode("keys").alias("key"))
+    rows = _chunked(rows, ["key"], SPLIT)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def join(table: pa.Table) -> pa.RecordBatch:
+            nodes, values, key, i, j, side = (table.column(c).to_numpy() for c in ("node", "fp", "key", "i", "j", "side"))
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]])
+            low, high = np.flatnonzero(new)[:-1], np.flatnonzero(new)[1:]
+            left = np.concatenate([[0], np.cumsum(side == 0)])
+            middle = low + left[high] - left[low]
+            two = i[low] != j[low]
+            pairs = np.stack([low, np.where(two, middle, high), np.where(two, middle, low), high, np.zeros_like(low)], axis=1)
+            pairs = pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3]) & (high - low > 1)]
+            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            labels = trie_links(values.view(np.uint64), pairs, radius, None, sketches, similarity)
+            moved = labels != np.arange(labels.size)
+            return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[labels[moved]])], ["u", "v"])
+
+        def ready(last: bool) -> Iterator[pa.RecordBatch]:
+            """Whole groups of what is held; the last group may go on in the next batch."""
+            table = pa.Table.from_batches(held)
+            held.clear()
+            end = table.num_rows
+            if not last:
+                key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+                other = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
+                end = int(other[-1]) + 1 if other.size else 0
+                held.extend(table.slice(end).combine_chunks().to_batches())
+            if end:
+                yield join(table.slice(0, end).combine_chunks())
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 4 * SPLIT:
+                yield from ready(last=False)
+        if held:
+            yield from ready(last=True)
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.select("key", "i", "j", "side", "fp", "node", "sketch").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", F.shiftrightunsigned("fp", 1), "fp")
+    return map_arrow(ordered, links, "u long, v long").distinct()
+
+
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
     """One row per document: ``doc_id, fingerprint, component_id``.
 
     Documents whose fingerprints differ in ``radius`` bits or fewer link, and
-    ``component_id`` is the smallest id reachable.  A null or empty text has
-    the fingerprint zero, linked like any other.  Rows that repeat an id each
-    keep a row; a null id never is a component's smallest while another id is
-    there.  An empty table gives an empty one; other columns are left out.
+    ``component_id`` is the smallest id reachable.  With ``similarity`` a link
+    also needs shingle sets that are so alike, estimated from sketches of 128
+    bins (a standard error of 0.035 at 0.8; equal texts are always alike).
+
+    A null or empty text has the fingerprint zero, linked like any other.
+    Rows that repeat an id each keep a row; a null id never is a component's
+    smallest while another id is there.  An empty table gives an empty one;
+    other columns are left out.
     """
+    exact = similarity is None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found, sketches, keys = [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text, words)
+                found.append(fingerprint(hashes))
+                sketches.append(None if exact else sketch(hashes))
+                keys.append(None if exact else least_shingles(hashes))
+            prints = pa.array(np.array(found, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, prints if exact else batch.column(2), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "node", "sketch", "keys"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    prints = stage(map_arrow(texts(df, id_col, text_col), task, f"doc_id {kind}, fp long"), "fingerprints")
-    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-nodes")
-    parts = connected_components(fingerprint_links(nodes, radius))
-    named = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
+    rows = texts(df, id_col, text_col)
+    rows = rows if exact else rows.withColumn("node", F.xxhash64("text"))
+    prints = stage(map_arrow(rows, task, f"doc_id {kind}, fp long, node long, sketch binary, keys array<long>"), "fingerprints")
+    nodes = stage(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), *([] if exact else [F.first("sketch").alias("sketch"), F.first("keys").alias("keys")])), "fingerprint-nodes")
+    parts = connected_components(fingerprint_links(nodes, radius) if exact else alike_links(nodes, radius, similarity))
+    named = nodes.select("node", "low").join(parts, "node", "left").select("node", "low", F.coalesce("component", "node").alias("part"))
     lowest = named.groupBy("part").agg(F.min("low").alias("component_id"))
-    known = named.join(lowest, "part").select("fp", "component_id")
-    return prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    known = named.join(lowest, "part").select("node", "component_id")
+    return prints.select("doc_id", "fp", "node").join(known, "node").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
