@@ -11,6 +11,7 @@ from .lines import dedup_lines
 from .media import media_columns
 from .packing import pack
 from .quality import fit, held_out, score
+from .repeats import remove_repeats
 from .secrets import scan_secrets
 from .shared import table
 from .simhash import near_duplicates
@@ -51,6 +52,10 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_and_read(table(spark, folder, "pages"))
 
 
+def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op7_media(spark: SparkSession, folder: str) -> DataFrame:
     return media_columns(table(spark, folder, "documents"), tile_side=16)
 
@@ -67,6 +72,6 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_lines, op4_secrets, op5_warc, op7_media, op8_simhash, op9_html, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_lines, op4_secrets, op5_warc, op6_repeats, op7_media, op8_simhash, op9_html, op10_decontamination)}
 
 __all__ = ["QUERIES", "SQL", "tokenizer_path"]

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,3 +94,21 @@ def add_columns(df: DataFrame, text_col: str, compute: Callable[[list[str]], lis
     done = map_arrow(packed, task, ", ".join([f"rest {rest}", "text string", *(f"n{i} {kind}" for i, kind in enumerate(added.values()))]))
     kept = [F.col("text").alias(c) if c == text_col else F.col(f"rest.c{others.index(c)}").alias(c) for c in df.columns if c not in added]
     return done.select(*kept, *(F.col(f"n{i}").alias(c) for i, c in enumerate(added)))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, of about ``rows`` rows or one group, from batches in order of their integer keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        columns = [table.column(k).to_numpy() for k in keys]
+        other = np.flatnonzero(np.any([c != c[-1] for c in columns], axis=0))
+        end = int(other[-1]) + 1 if other.size else 0
+        held = table.slice(end).combine_chunks().to_batches()
+        if end:
+            yield table.slice(0, end).combine_chunks()
+    if held and (table := pa.Table.from_batches(held)).num_rows:
+        yield table.combine_chunks()

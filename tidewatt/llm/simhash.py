@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .perfect_hash import mix
-from .shared import map_arrow, stage, texts
+from .shared import map_arrow, stage, texts, whole_groups
 
 #: About so many fingerprints are joined in one group; larger groups that hold this many times more are split.
 GROUP, SPLIT = 2000, 8192
@@ -235,9 +235,7 @@ def alike_links(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
     rows = _chunked(rows, ["key"], SPLIT)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def join(table: pa.Table) -> pa.RecordBatch:
+        for table in whole_groups(batches, ["key", "i", "j"], 4 * SPLIT):
             nodes, values, key, i, j, side = (table.column(c).to_numpy() for c in ("node", "fp", "key", "i", "j", "side"))
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]])
             low, high = np.flatnonzero(new)[:-1], np.flatnonzero(new)[1:]
@@ -249,27 +247,7 @@ def alike_links(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
             sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
             labels = trie_links(values.view(np.uint64), pairs, radius, None, sketches, similarity)
             moved = labels != np.arange(labels.size)
-            return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[labels[moved]])], ["u", "v"])
-
-        def ready(last: bool) -> Iterator[pa.RecordBatch]:
-            """Whole groups of what is held; the last group may go on in the next batch."""
-            table = pa.Table.from_batches(held)
-            held.clear()
-            end = table.num_rows
-            if not last:
-                key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
-                other = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
-                end = int(other[-1]) + 1 if other.size else 0
-                held.extend(table.slice(end).combine_chunks().to_batches())
-            if end:
-                yield join(table.slice(0, end).combine_chunks())
-
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= 4 * SPLIT:
-                yield from ready(last=False)
-        if held:
-            yield from ready(last=True)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[labels[moved]])], ["u", "v"])
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.select("key", "i", "j", "side", "fp", "node", "sketch").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", F.shiftrightunsigned("fp", 1), "fp")
