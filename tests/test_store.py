@@ -153,3 +153,25 @@ def test_configuration_and_evolution():
     assert TableConfig(point=True).key == ("malo_id", "melo_id", "obis_code", "from")
     changes = compare(TableConfig().schema, TableConfig(extras=(Extra("a"), Extra("b", nullable=False))).schema)
     assert [(c.column, c.safe) for c in changes] == [("a", True), ("b", False)]
+
+
+def test_daily_totals_of_a_stream(spark, store, tmp_path):
+    from tidewatt.streaming.ingest import daily_totals
+
+    frame(spark, *(reading(h, "2") for h in range(30))).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+    daily_totals(stream, store).writeStream.format("memory").queryName("totals").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert spark.sql("SELECT sum(readings), sum(total) FROM totals").first() == (30, Decimal("60.000000"))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidewatt.cli import load, main
+
+    config = tmp_path / "tables.toml"
+    config.write_text('[[table]]\nname = "second"\nstep = 86400\n[[table.extras]]\nname = "tenant"\nnullable = false\nidentity = true\n')
+    assert load(str(config))[0].key == ("malo_id", "obis_code", "from", "tenant")
+    root = f"file://{tmp_path}/root"
+    for command in (["create"], ["status"], ["snapshots"], ["query", "SELECT count(*) AS n FROM second"], ["maintain"], ["completeness", "2026-01-01", "2026-01-02"], ["audit", "quality"]):
+        main(["--root", root, "--config", str(config), *command])
+    out = capsys.readouterr().out
+    assert "watermark" in out and "archived 0 windows" in out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,13 +28,16 @@ CAPS, AGAIN, GAP = 0, 1, BUCKETS
 
 
 class Words(dict):
-    """Numbers of a word: its bucket, after a marker if it is in upper case."""
+    """Numbers of a word, two bytes each: its bucket, after a marker if it is in upper case."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > CACHED_WORDS:
             self.clear()
         number = 2 + xxhash.xxh32_intdigest(word.lower()) % (BUCKETS - 2)
-        self[word] = found = (CAPS, number) if len(word) > 1 and word.isupper() else (number,)
+        found = number.to_bytes(2, sys.byteorder)
+        if len(word) > 1 and word.isupper():
+            found = CAPS.to_bytes(2, sys.byteorder) + found
+        self[word] = found
         return found
 
 
@@ -41,8 +45,7 @@ _words = Words()
 
 
 def word_numbers(text: str) -> np.ndarray:
-    found = [n for word in TOKEN.findall(text) for n in _words[word]]
-    out = np.array(found, np.uint16)
+    out = np.frombuffer(bytearray().join(map(_words.__getitem__, TOKEN.findall(text))), np.uint16)
     if out.size > 1:
         again = out[1:] == out[:-1]
         out[1:][again] = AGAIN
@@ -115,8 +118,8 @@ def pooled(found: list[str], vectors: np.ndarray) -> np.ndarray:
     out = np.zeros((len(found), WIDTH))
     for i, text in enumerate(found):
         ids = word_numbers(text)
-        for at in range(0, ids.size, 100_000):
-            out[i] += vectors[ids[at : at + 100_000]].sum(axis=0, dtype=np.float64)
+        for at in range(0, ids.size, 20_000):
+            out[i] += np.add.reduce(vectors.take(ids[at : at + 20_000], axis=0))
         out[i] /= max(1, ids.size)
     return out
 
