@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewatt.llm import media
@@ -25,8 +26,8 @@ def test_encoder_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
     plain, ours = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
-    some = [t for _, t in texts() if t is not None] + ["İstanbul ΣΑΣ don't I'LL ''s !!'s 12345 ²½", "tab\tnew space\x85next \x1f sep", "é é", "a" * 3000]
-    for got, text in zip(ours.encode(some), some, strict=True):
+    some = [t for _, t in texts() if t is not None] + ["İstanbul ΣΑΣ don't I'LL ''s !!'s 12345 ²½", "tab\tnew space\x85next \x1f sep", "é é", "a" * 3000, "ȺbȾ c Ƀd", "a\x0bb\x0cc\xa0d", " ", "\n\n"]
+    for got, text in zip(ours.encode(pa.array(some)), some, strict=True):
         assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:60]
 
 

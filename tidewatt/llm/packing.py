@@ -8,14 +8,14 @@ and so the deficits cross partitions without passing rows through one place.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,21 +23,24 @@ from .shared import map_arrow, stage
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a Python worker keeps, in each of two generations.
-CACHED_WORDS = 200_000
+#: Words from which on a Python worker starts a new generation of known ids; it keeps two.
+CACHED_WORDS = 400_000
 
 
 # Tokens ---------------------------------------------------------------------
 
 
-def _ranges(wanted: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] in wanted)
+def _class(wanted: Callable[[str], bool]) -> str:
+    return "".join(rf"\x{{{ord(c):x}}}" for c in map(chr, range(0x250)) if wanted(c))
 
 
-#: The tokenizer's own split into words, for characters up to U+024F.
-WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_ranges('L')}]+|[{_ranges('N')}]|[^\s{_ranges('LN')}]+")
-#: Texts with other characters, or ones that change on lower-casing in more than case, go to the tokenizer whole.
-PLAIN = re.compile(r"[\x00-\x1b\x20-\x7f\xa1-įı-ɏ]*\Z")
+_LETTERS, _DIGITS = (_class(lambda c, k=k: unicodedata.category(c)[0] == k) for k in "LN")
+#: The tokenizer's own split of a lower-cased text into words, for characters up to U+024F.
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\t\n\x0b\x0c\r {_LETTERS}{_DIGITS}]+"
+#: Texts with other characters, with ones that lower-casing takes beyond these, or with other white space than ASCII's go to the tokenizer whole.
+ODD = "[^" + _class(lambda c: len(c.lower()) == 1 and c.lower() < "ɐ" and (c in " \t\n\v\f\r" or not c.isspace()) and not "\x80" <= c <= "\x9f") + "]"
+#: Bytes of texts that are encoded at once.
+SLICE_BYTES = 1 << 22
 
 
 class Encoder:
@@ -54,32 +57,63 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer do not fit in 16 bits")
-        self.young: dict[str, bytes] = {}
+        self.last = np.zeros(1 << 16, bool)  # ids that end a word
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
+
     def _learn(self, words: list[str]) -> None:
-        if len(self.young) + len(words) > CACHED_WORDS:
-            self.young, self.old = {}, self.young
+        """Encode words, many in one text; the ids that end a word part them again."""
+        if len(self.young) > CACHED_WORDS:
+            self.young, self.old = {"": b""}, self.young
         fresh = []
         for word in words:
+            if word in self.young:
+                continue
             if (found := self.old.get(word)) is not None:
                 self.young[word] = found
             else:
                 fresh.append(word)
-        for at in range(0, len(fresh), 5000):
-            some = fresh[at : at + 5000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.young[word] = np.array(got.ids, "<u2").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [WORDS.findall(t.lower()) if PLAIN.match(t) else None for t in texts]
-        missing = set().union(*(x for x in split if x)) - self.young.keys()
-        if missing:
-            self._learn(sorted(missing | ({w for x in split if x for w in x} if len(self.young) + len(missing) > CACHED_WORDS else set())))
-        return [
-            b"".join(map(self.young.__getitem__, words)) if words is not None else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-            for text, words in zip(texts, split, strict=True)
-        ]
+        for at in range(0, len(fresh), 2000):
+            some = fresh[at : at + 2000]
+            ids = self._ids(" ".join(some))
+            ends = (2 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(some):
+                raise ValueError("this tokenizer does not mark the ends of words")
+            data = ids.tobytes()
+            self.young.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _encode_plain(self, texts: pa.Array) -> list[bytes]:
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), WORDS, r"\0 "))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._learn(words)
+        known = [self.young[w] for w in words]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        table, first = np.frombuffer(b"".join(known), "<u2"), np.cumsum(size) - size
+        index = coded.indices.to_numpy()
+        counts = size[index]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        data = table[np.repeat(first[index] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+        bounds = (2 * ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]).tolist()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        out: list[bytes] = []
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            some = texts.slice(at, end - at)
+            odd = pc.match_substring_regex(some, ODD)
+            plain = iter(self._encode_plain(some.filter(pc.invert(odd))))
+            whole = iter(some.filter(odd).to_pylist())
+            out += [self._ids(next(whole)).tobytes() if is_odd else next(plain) for is_odd in odd.to_pylist()]
+            at = end
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -183,7 +217,7 @@ def tokenize(df: DataFrame, tokenizer: str, *, id_col: str, text_col: str, sourc
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, reached, end = encoder(tokenizer).encode, {}, np.array([END_ID], "<u2").tobytes()
         for batch in batches:
-            ids = [x + end for x in encode(batch.column("text").to_pylist())]
+            ids = [x + end for x in encode(batch.column("text"))]
             starts = []
             for queue, x in zip(batch.column("queue").to_pylist(), ids, strict=True):
                 starts.append(reached.get(queue, 0))
