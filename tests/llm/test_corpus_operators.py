@@ -126,6 +126,16 @@ def test_similar_texts(spark, monkeypatch):
     assert {got[i] for i in range(20)} == {0} and all(got[100 + i] == 100 + i for i in range(20)) and got[201] == 200
 
 
+def test_similarity_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "AT_ONCE", 2, raising=False)
+    rows = []
+    for i in range(40):  # 296 shared shingles and 37 or 38 of each: 0.8 and 0.7957
+        for side in range(2):
+            rows.append((10 * i + side, prose(3000 + i, 300) + " " + prose(4000 + 2 * i + side, 37 + i % 2)))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, rows), words=5, radius=20, similarity=0.8).collect()}
+    assert [got[10 * i + 1] == 10 * i for i in range(40)] == [i % 2 == 0 for i in range(40)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 440)] + [(-7, 1000 + i) for i in range(50)] + [(5, 5)]

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -28,6 +28,8 @@ LEAVES = 64
 PIECE = 100_000
 #: Bins of a sketch: the seven high bits of a hash choose one.
 SKETCH = 128
+#: Shingles of a chunk of a group whose sets are compared, and pairs that are compared before components are looked at again.
+HELD, AT_ONCE = 4_000_000, 256
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -78,6 +80,37 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(either > 0, both / np.maximum(either, 1), 1.0)
 
 
+class Sets:
+    """Shingle sets of rows: candidates by their sketches, decided on the sets themselves.
+
+    The sketch only spares comparisons: it lets a pair pass down to seven
+    standard errors below the similarity.
+    """
+
+    def __init__(self, sketches: np.ndarray, shingles: pa.Array, similarity: float):
+        self.sketches, self.similarity = sketches, similarity
+        self.least = similarity - 7 * (similarity * (1 - similarity) / SKETCH) ** 0.5
+        self.hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in shingles]
+        self.size = np.fromiter(map(len, self.hashes), np.int64, len(self.hashes))
+
+    def candidates(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = self.size[a], self.size[b]
+        sizes = np.minimum(x, y) >= self.similarity * np.maximum(x, y) - 1e-6
+        sizes[sizes] = alike(self.sketches[a[sizes]], self.sketches[b[sizes]]) >= self.least
+        return sizes
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.fromiter((jaccard(self.hashes[x], self.hashes[y]) >= self.similarity for x, y in zip(a.tolist(), b.tolist(), strict=True)), bool, a.size)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sets of hashes, each in order; two empty ones are alike."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common / (both.size - common) if both.size else 1.0
+
+
 # Trie join ------------------------------------------------------------------
 
 
@@ -111,7 +144,7 @@ class Labels:
                 self.of = up
 
 
-def trie_links(values: np.ndarray, pairs: np.ndarray, radius: int, budgets: np.ndarray | None = None, sketches: np.ndarray | None = None, similarity: float = 0.0) -> np.ndarray:
+def trie_links(values: np.ndarray, pairs: np.ndarray, radius: int, budgets: np.ndarray | None = None, sets: Sets | None = None) -> np.ndarray:
     """The label of each value: values linked by the traversal share one.
 
     ``values`` are fingerprints, in order within each trie.  A row of
@@ -119,11 +152,11 @@ def trie_links(values: np.ndarray, pairs: np.ndarray, radius: int, budgets: np.n
     range of one, and 0 for the bits that differ so far.  A pair of nodes that
     already hold one component is passed over.  ``budgets`` are the most
     differing bits for each depth, ``radius`` if there are none.  With
-    ``sketches`` a link needs the similarity that they show, too.
+    ``sets`` a link needs their similarity, too.
     """
     labels = Labels(values.size)
     budgets = np.full(65, radius) if budgets is None else budgets
-    link = lambda a, b: _link(values, labels, a, b, radius, sketches, similarity)
+    link = lambda a, b: _link(values, labels, a, b, radius, sets)
     own = pairs[(pairs[:, 0] == pairs[:, 2]) & (pairs[:, 1] - pairs[:, 0] > 1)]
     if own.size:
         sizes = own[:, 1] - own[:, 0] - 1
@@ -170,17 +203,26 @@ def _leaves(pairs: np.ndarray, link: Callable[[np.ndarray, np.ndarray], None]) -
         link(al[which] + place // width[which], bl[which] + place % width[which])
 
 
-def _link(values: np.ndarray, labels: Labels, a: np.ndarray, b: np.ndarray, radius: int, sketches: np.ndarray | None, similarity: float) -> None:
+def _link(values: np.ndarray, labels: Labels, a: np.ndarray, b: np.ndarray, radius: int, sets: Sets | None) -> None:
     near = np.bitwise_count(values[a] ^ values[b]) <= radius
     a, b = a[near], b[near]
-    for at in range(0, a.size if sketches is not None else 0, PIECE):
-        x, y = a[at : at + PIECE], b[at : at + PIECE]
-        apart = labels.of[x] != labels.of[y]
-        x, y = x[apart], y[apart]
-        good = alike(sketches[x], sketches[y]) >= similarity
-        labels.join(x[good], y[good])
-    if sketches is None:
+    if sets is None:
         labels.join(a, b)
+        return
+    for at in range(0, a.size, PIECE):
+        x, y = _apart(labels, a[at : at + PIECE], b[at : at + PIECE])
+        found = sets.candidates(x, y)
+        x, y = x[found], y[found]
+        while x.size:
+            some, other = x[:AT_ONCE], y[:AT_ONCE]
+            good = sets.alike(some, other)
+            labels.join(some[good], other[good])
+            x, y = _apart(labels, x[AT_ONCE:], y[AT_ONCE:])
+
+
+def _apart(labels: Labels, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    apart = labels.of[a] != labels.of[b]
+    return a[apart], b[apart]
 
 
 def _rotate(values: np.ndarray, left: int) -> np.ndarray:
@@ -188,13 +230,13 @@ def _rotate(values: np.ndarray, left: int) -> np.ndarray:
     return values if not left else (values << np.uint64(left)) | (values >> np.uint64(64 - left))
 
 
-def _chunked(rows: DataFrame, keys: list[str], cap: int) -> DataFrame:
+def _chunked(rows: DataFrame, keys: list[str], cap: int, weight: Column | None = None) -> DataFrame:
     """Split groups of over ``cap`` rows into chunks and give each pair of chunks the rows of both.
 
-    Adds the chunks ``i <= j`` of the pair, and ``side``, 1 for the rows of
+    A row counts as ``weight`` rows if that is given.  Adds the chunks ``i <= j`` of the pair, and ``side``, 1 for the rows of
     chunk ``j`` of two.
     """
-    large = stage(rows.groupBy(*keys).count().filter(F.col("count") > cap).select(*keys, F.ceil(F.col("count") / cap).cast("int").alias("chunks")), "large-groups")
+    large = stage(rows.groupBy(*keys).agg(F.sum(F.lit(1) if weight is None else weight).alias("count")).filter(F.col("count") > cap).select(*keys, F.ceil(F.col("count") / cap).cast("int").alias("chunks")), "large-groups")
     rows = rows.join(large, keys, "left").withColumn("chunk", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
     return rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other"), "side": (F.col("chunk") > F.col("other")).cast("int")}).drop("chunks", "chunk", "other")
@@ -224,18 +266,32 @@ def fingerprint_links(nodes: DataFrame, radius: int) -> DataFrame:
     return rows.groupBy("turn", "bucket", "i", "j").applyInArrow(links, "u long, v long").distinct()
 
 
-def alike_links(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+def alike_links(nodes: DataFrame, rows: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
     """Edges ``u, v`` between nodes of similar shingle sets, found by tries of those that share a least shingle.
 
     Each node has the least shingle of each eighth of the hash space as a key.
     Two sets of similarity s share none of them with a chance of (1 - s)^8,
-    2.6 in a million at 0.8.  The nodes of a key make one trie.
+    2.6 in a million at 0.8.  The nodes of a key make one trie, and a link
+    needs the exact similarity of the sets.  ``rows`` are the texts; their sets
+    go only to the keys that nodes share.
     """
-    rows = nodes.select("node", "fp", "sketch", F.explode("keys").alias("key"))
-    rows = _chunked(rows, ["key"], SPLIT)
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = stage(keyed.join(keyed.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi"), "shared-keys")
+    needed = rows.select("node", "text").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(text, words)).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
+
+    sets = stage(map_arrow(needed, shingles, "node long, shingles binary"), "shingle-sets")
+    full = F.greatest(F.lit(1.0), F.col("size") * (SPLIT / HELD))
+    sizes = sets.select("node", (F.octet_length("shingles") / 8).alias("size"))
+    keys = _chunked(shared.join(sizes, "node"), ["key"], SPLIT, full).select("node", "key", "i", "j", "side")
+    rows = keys.join(nodes.select("node", "fp", "sketch"), "node").join(sets, "node")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key", "i", "j"], 4 * SPLIT):
+        for table in whole_groups(batches, ["key", "i", "j"], SPLIT):
             nodes, values, key, i, j, side = (table.column(c).to_numpy() for c in ("node", "fp", "key", "i", "j", "side"))
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]])
             low, high = np.flatnonzero(new)[:-1], np.flatnonzero(new)[1:]
@@ -245,12 +301,13 @@ def alike_links(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
             pairs = np.stack([low, np.where(two, middle, high), np.where(two, middle, low), high, np.zeros_like(low)], axis=1)
             pairs = pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3]) & (high - low > 1)]
             sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            labels = trie_links(values.view(np.uint64), pairs, radius, None, sketches, similarity)
+            found = Sets(sketches, table.column("shingles"), similarity)
+            labels = trie_links(values.view(np.uint64), pairs, radius, None, found)
             moved = labels != np.arange(labels.size)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[labels[moved]])], ["u", "v"])
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.select("key", "i", "j", "side", "fp", "node", "sketch").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", F.shiftrightunsigned("fp", 1), "fp")
+    ordered = rows.select("key", "i", "j", "side", "fp", "node", "sketch", "shingles").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", F.shiftrightunsigned("fp", 1), "fp")
     return map_arrow(ordered, links, "u long, v long").distinct()
 
 
@@ -259,8 +316,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     Documents whose fingerprints differ in ``radius`` bits or fewer link, and
     ``component_id`` is the smallest id reachable.  With ``similarity`` a link
-    also needs shingle sets that are so alike, estimated from sketches of 128
-    bins (a standard error of 0.035 at 0.8; equal texts are always alike).
+    also needs sets of distinct shingles that are so alike, by their exact
+    Jaccard similarity.
 
     A null or empty text has the fingerprint zero, linked like any other.
     Rows that repeat an id each keep a row; a null id never is a component's
@@ -285,7 +342,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     rows = rows if exact else rows.withColumn("node", F.xxhash64("text"))
     prints = stage(map_arrow(rows, task, f"doc_id {kind}, fp long, node long, sketch binary, keys array<long>"), "fingerprints")
     nodes = stage(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), *([] if exact else [F.first("sketch").alias("sketch"), F.first("keys").alias("keys")])), "fingerprint-nodes")
-    parts = connected_components(fingerprint_links(nodes, radius) if exact else alike_links(nodes, radius, similarity))
+    parts = connected_components(fingerprint_links(nodes, radius) if exact else alike_links(nodes, rows, words, radius, similarity))
     named = nodes.select("node", "low").join(parts, "node", "left").select("node", "low", F.coalesce("component", "node").alias("part"))
     lowest = named.groupBy("part").agg(F.min("low").alias("component_id"))
     known = named.join(lowest, "part").select("node", "component_id")
