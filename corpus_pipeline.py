@@ -13,9 +13,8 @@ from tidewatt.llm.queries import GOOD, tokenizer_path
 from tidewatt.llm.shared import stage, table
 from tidewatt.llm.simhash import near_duplicates
 
-#: Near-duplicates: shingles of five words, alike at 0.8.  Their fingerprints
-#: differ in 9.7 bits on average at that similarity and rarely in over 20.
-WORDS, RADIUS, SIMILARITY = 5, 20, 0.8
+#: Near-duplicates: distinct shingles of five words, alike at 0.8.  The similarity sets the radius of their fingerprints.
+WORDS, SIMILARITY = 5, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group, once."""
-    groups = near_duplicates(docs, words=WORDS, radius=RADIUS, similarity=SIMILARITY)
+    groups = near_duplicates(docs, words=WORDS, similarity=SIMILARITY)
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
     return docs.join(first, docs.doc_id.eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
 

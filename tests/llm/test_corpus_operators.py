@@ -136,6 +136,27 @@ def test_similarity_is_exact(spark, monkeypatch):
     assert [got[10 * i + 1] == 10 * i for i in range(40)] == [i % 2 == 0 for i in range(40)]
 
 
+def test_repeated_shingles_do_not_count(spark):
+    rows = []
+    for i in range(30):  # the same set of shingles, those of one line repeated
+        line = prose(6000 + i, 10)
+        rows += [(10 * i + side, prose(5000 + i, 120) + f"\n{line}" * times) for side, times in enumerate((2, 40))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, rows), words=5, radius=20, similarity=0.8).collect()}
+    assert all(got[10 * i + 1] == 10 * i for i in range(30))
+
+
+def test_short_sets_are_found():
+    rng = np.random.default_rng(12)
+    sets = rng.integers(0, 2**64, (30_000, 5), dtype=np.uint64)
+    apart = [k for k, s in enumerate(sets) if not set(simhash.least_shingles(s, 0.8)) & set(simhash.least_shingles(s[:4], 0.8))]
+    for size in (10, 36, 39, 40, 45, 48):
+        for s in rng.integers(0, 2**64, (200, size), dtype=np.uint64):
+            apart += [s for other in (s[: -(-size * 4 // 5)],) if not set(simhash.least_shingles(s, 0.8)) & set(simhash.least_shingles(other, 0.8))]
+    assert not apart
+    bits = [(simhash.fingerprint(s) ^ simhash.fingerprint(s[:4])).bit_count() for s in sets]
+    assert max(bits) <= simhash.alike_radius(0.8) and sum(b > 20 for b in bits) > 50
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 440)] + [(-7, 1000 + i) for i in range(50)] + [(5, 5)]

@@ -9,6 +9,7 @@ with an error budget that starts at 0 and grows by one a block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ PIECE = 100_000
 SKETCH = 128
 #: Shingles of a chunk of a group whose sets are compared, and pairs that are compared before components are looked at again.
 HELD, AT_ONCE = 4_000_000, 256
+#: Up to so many shingles a set's keys find every similar set.
+SHORT = 39
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -65,13 +68,30 @@ def sketch(hashes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def least_shingles(hashes: np.ndarray) -> list[int]:
-    """The least hash in each eighth of the hash space; one fixed key for no shingles."""
+def least_shingles(hashes: np.ndarray, similarity: float) -> list[int]:
+    """Keys of a set of distinct hashes, of which similar sets share one; one fixed key for no shingles.
+
+    A set that can be similar to one of ``SHORT`` hashes or fewer has its least
+    ones, of which two similar sets always share one: as many as may be left
+    out, and one more.  Larger sets have the least hash in each eighth of the
+    hash space.
+    """
     if not hashes.size:
         return [0]
     mixed = np.sort(mix(hashes, 13))
-    part = mixed >> np.uint64(61)
-    return mixed[np.concatenate([[True], part[1:] != part[:-1]])].view(np.int64).tolist()
+    first = np.zeros(mixed.size, bool)
+    if hashes.size * similarity <= SHORT + 1e-6:
+        first[: hashes.size - math.ceil(hashes.size * similarity - 1e-6) + 1] = True
+    if hashes.size > SHORT:
+        part = mixed >> np.uint64(61)
+        first |= np.concatenate([[True], part[1:] != part[:-1]])
+    return mixed[first].view(np.int64).tolist()
+
+
+def alike_radius(similarity: float) -> int:
+    """Bits in which fingerprints of similar sets of distinct hashes may differ: eight standard deviations over their mean."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return min(64, math.ceil(64 * share + 8 * (64 * share * (1 - share)) ** 0.5))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -269,9 +289,9 @@ def fingerprint_links(nodes: DataFrame, radius: int) -> DataFrame:
 def alike_links(nodes: DataFrame, rows: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
     """Edges ``u, v`` between nodes of similar shingle sets, found by tries of those that share a least shingle.
 
-    Each node has the least shingle of each eighth of the hash space as a key.
-    Two sets of similarity s share none of them with a chance of (1 - s)^8,
-    2.6 in a million at 0.8.  The nodes of a key make one trie, and a link
+    The keys of a node are its ``least_shingles``.  Two large sets of similarity
+    s share none of them with a chance of (1 - s)^8, 2.6 in a million at 0.8;
+    short ones always share one.  The nodes of a key make one trie, and a link
     needs the exact similarity of the sets.  ``rows`` are the texts; their sets
     go only to the keys that nodes share.
     """
@@ -316,8 +336,9 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     Documents whose fingerprints differ in ``radius`` bits or fewer link, and
     ``component_id`` is the smallest id reachable.  With ``similarity`` a link
-    also needs sets of distinct shingles that are so alike, by their exact
-    Jaccard similarity.
+    needs sets of distinct shingles that are so alike, by their exact Jaccard
+    similarity; fingerprints are over distinct shingles then, and the radius is
+    that of ``alike_radius`` at least.
 
     A null or empty text has the fingerprint zero, linked like any other.
     Rows that repeat an id each keep a row; a null id never is a component's
@@ -331,9 +352,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             found, sketches, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, words)
+                hashes = hashes if exact else np.unique(hashes)
                 found.append(fingerprint(hashes))
                 sketches.append(None if exact else sketch(hashes))
-                keys.append(None if exact else least_shingles(hashes))
+                keys.append(None if exact else least_shingles(hashes, similarity))
             prints = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), prints, prints if exact else batch.column(2), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "node", "sketch", "keys"])
 
@@ -342,7 +364,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     rows = rows if exact else rows.withColumn("node", F.xxhash64("text"))
     prints = stage(map_arrow(rows, task, f"doc_id {kind}, fp long, node long, sketch binary, keys array<long>"), "fingerprints")
     nodes = stage(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), *([] if exact else [F.first("sketch").alias("sketch"), F.first("keys").alias("keys")])), "fingerprint-nodes")
-    parts = connected_components(fingerprint_links(nodes, radius) if exact else alike_links(nodes, rows, words, radius, similarity))
+    parts = connected_components(fingerprint_links(nodes, radius) if exact else alike_links(nodes, rows, words, max(radius, alike_radius(similarity)), similarity))
     named = nodes.select("node", "low").join(parts, "node", "left").select("node", "low", F.coalesce("component", "node").alias("part"))
     lowest = named.groupBy("part").agg(F.min("low").alias("component_id"))
     known = named.join(lowest, "part").select("node", "component_id")
