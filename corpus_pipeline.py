@@ -11,7 +11,7 @@ from tidewatt.llm.packing import pack
 from tidewatt.llm.quality import fit, score
 from tidewatt.llm.queries import GOOD, tokenizer_path
 from tidewatt.llm.shared import stage, table
-from tidewatt.llm.simhash import near_duplicates
+from tidewatt.llm.simhash import first_of_groups
 
 #: Near-duplicates: distinct shingles of five words, alike at 0.8.  The similarity sets the radius of their fingerprints.
 WORDS, SIMILARITY = 5, 0.8
@@ -29,10 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group, once."""
-    groups = near_duplicates(docs, words=WORDS, similarity=SIMILARITY)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each group: the one of smallest id, ids missing or repeated too."""
+    return first_of_groups(docs, words=WORDS, similarity=SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

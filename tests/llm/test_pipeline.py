@@ -39,6 +39,20 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids["packing"]
 
 
+def test_one_row_of_each_group_stays(spark):
+    near = prose(7, 80).split()
+    rows = [(None, prose(i, 80)) for i in range(5)]  # groups of their own, without ids
+    rows += [(2, prose(7, 80)), (9, " ".join([*near[:79], "changed"])), (9, prose(8, 80)), (3, prose(7, 80)), (None, prose(8, 80)), (4, "a b"), (4, "a b")]
+    want = sorted([t for i, t in rows[:5]] + [prose(7, 80), prose(8, 80), "a b"])
+    for parts in (1, 7):
+        docs = documents(spark, rows).repartition(parts)
+        out = corpus_pipeline.near_duplicate(spark, docs, "")
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert sorted(r.text for r in kept) == want
+        assert {r.text: r.doc_id for r in kept if r.doc_id} == {prose(7, 80): 2, prose(8, 80): 9, "a b": 4}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     duck = duckdb.connect()

@@ -345,6 +345,28 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     smallest while another id is there.  An empty table gives an empty one;
     other columns are left out.
     """
+    prints, named = _grouped(df, id_col, text_col, words, radius, similarity)
+    lowest = named.groupBy("part").agg(F.min("low").alias("component_id"))
+    known = named.join(lowest, "part").select("node", "component_id")
+    return prints.select("doc_id", "fp", "node").join(known, "node").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_of_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, similarity: float) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: one row of each component of similar texts.
+
+    It is the row of smallest id, a null id after all others; of several texts
+    under that id the one of smallest hash, and of rows equal in both the
+    smallest by all columns.  So ids need not be unique, and runs agree.
+    """
+    _, named = _grouped(df, id_col, text_col, words, radius, similarity)
+    first = named.groupBy("part").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("first")).select(F.col("first.low").alias("__low"), F.col("first.node").alias("__node"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("node"))
+    kept = rows.join(first, (F.col("node") == F.col("__node")) & F.col("id").eqNullSafe(F.col("__low")), "left_semi")
+    return kept.groupBy("node").agg(F.min("row").alias("row")).select("row.*")
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str, words: int, radius: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, fp, node`` of each row, and ``node, low, part``: the smallest id of each node, and its component."""
     exact = similarity is None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,6 +388,4 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     nodes = stage(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), *([] if exact else [F.first("sketch").alias("sketch"), F.first("keys").alias("keys")])), "fingerprint-nodes")
     parts = connected_components(fingerprint_links(nodes, radius) if exact else alike_links(nodes, rows, words, max(radius, alike_radius(similarity)), similarity))
     named = nodes.select("node", "low").join(parts, "node", "left").select("node", "low", F.coalesce("component", "node").alias("part"))
-    lowest = named.groupBy("part").agg(F.min("low").alias("component_id"))
-    known = named.join(lowest, "part").select("node", "component_id")
-    return prints.select("doc_id", "fp", "node").join(known, "node").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints, named
