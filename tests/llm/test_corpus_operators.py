@@ -251,6 +251,19 @@ def test_main_text(spark):
     assert html.extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<html><head><title>t</title><body>", "<html><head><meta content='a <p> b'><title>t</title><link href=x>", "<head><title>t<body>", "<head><script>'<p>'</script><style>p{}</style><!-- <p> --><title>t</title></head>", "<head><noscript><p>no</p></noscript>",
+        "<svg width='1'/>", "<svg>", "<svg-icon></svg-icon>", "<head-line></head-line>", "<template>", "<noscript>", "<select>", "<iframe src='x'>", "<svg><svg></svg><text>no</text></svg>", "<iframe srcdoc='a<br/>b'></iframe>", "<select><option>no</select>",
+    ],
+)
+def test_text_after_elements_without_an_end_tag(start):
+    texts = [b.text for b in html.leaf_blocks(start + "<article><p>Main text.</p><svg><text>no</text></svg><p>Last.</p></article>")]
+    assert texts[-2:] == ["Main text.", "Last."] and not any("no" in t.split() for t in texts)
+    assert html.leaf_blocks("<head><title>t</title>Main text.")[0].text == "Main text."
+
+
 def test_field_on_pages_it_has_not_seen():
     field, right, total = html.default_field(), 0, 0
     for page in html.labelled_pages(150, seed=1234):

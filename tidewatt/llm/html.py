@@ -21,7 +21,15 @@ from pyspark.sql import functions as F
 
 from .shared import map_arrow
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|head|select|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+# What goes to the end of the page if it has no end: comments, script and style.
+RAW = r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+QUOTED = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+MARKUP = re.compile(RAW + r"|<(template|noscript|svg|head|select|iframe)(?=[\s/>])[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(" + QUOTED + r")>|<[!?][^>]*>", re.S | re.I)
+SKIPPED = re.compile(RAW + r"|<(/?)(template|noscript|svg|select|iframe)(?=[\s/>])([^>]*)>", re.S | re.I)
+HEAD = re.compile(RAW + r"|(</head\s*>)|<([a-zA-Z][^\s/>]*)", re.S | re.I)
+TITLE_END = re.compile(r"</title\s*>", re.I)
+TAG_END = re.compile(r"[^<>]*>|" + QUOTED + ">", re.S)
+IN_HEAD = frozenset("head title base basefont bgsound link meta template noscript noframes".split())
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 # The elements of HTML that start a block, and those that have no end tag.
 BLOCKS = frozenset("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -54,16 +62,51 @@ def _signs(attributes: str) -> tuple[str, ...]:
     return tuple(sorted({SIGN_OF[w] for w in re.split(r"[^a-z]+", words) if w in SIGN_OF}))
 
 
+def _ends(page: str) -> dict[int, int]:
+    """Where skipped elements end, by where they start; only of those with an end tag of their own."""
+    ends: dict[int, int] = {}
+    starts: dict[str, list[int]] = {}
+    for found in SKIPPED.finditer(page):
+        if not found[3]:
+            continue
+        held = starts.setdefault(found[3].lower(), [])
+        if not found[2]:
+            if not (found[4].endswith("/") and re.fullmatch(QUOTED, found[4], re.S)):
+                held.append(found.start())
+        elif held:
+            ends[held.pop()] = found.end()
+    return ends
+
+
+def _head_end(page: str, at: int, ends: dict[int, int]) -> int:
+    """Where the head that starts before ``at`` ends: at its end tag or the first tag of the body."""
+    while found := HEAD.search(page, at):
+        tag = (found[3] or "").lower()
+        if found[2]:
+            return found.end()
+        if not tag:
+            at = found.end()
+        elif tag not in IN_HEAD:
+            return found.start()
+        else:
+            end = TAG_END.match(page, found.end())
+            at = ends.get(found.start()) or (end.end() if end else found.end())
+            if tag == "title" and (end := TITLE_END.search(page, at)):
+                at = end.end()
+    return at
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The runs of text between block tags, in page order, with their ancestors.
 
     Character references are decoded and white space is one space.  Missing
-    end tags are closed as browsers do; nothing is cut from a text.
+    end tags are closed as browsers do; nothing is cut from a text.  A skipped
+    element without an end tag skips nothing but its start tag.
     """
     blocks: list[Block] = []
     path: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
-    linked, anchors, at = 0, 0, 0
+    linked, anchors, at, ends = 0, 0, 0, _ends(page)
 
     def flush() -> None:
         nonlocal linked
@@ -88,26 +131,28 @@ def leaf_blocks(page: str) -> list[Block]:
             if path[i][0] in walls:
                 return
 
-    for found in MARKUP.finditer(page):
+    while found := MARKUP.search(page, at):
         add(page[at : found.start()])
         at = found.end()
-        tag = (found[3] or "").lower()
+        tag = (found[4] or "").lower()
+        if found[2]:
+            at = _head_end(page, at, ends) if found[2].lower() == "head" else ends.get(found.start(), at)
         if not tag or tag in VOID:
-            if tag == "br" or tag == "hr" or found[1]:
+            if tag == "br" or tag == "hr" or found[1] or found[2]:
                 pieces.append(" ")
             continue
         if tag == "a":
-            anchors = 0 if found[2] else 1
+            anchors = 0 if found[3] else 1
         if tag not in BLOCKS:
             continue
         flush()
-        if found[2]:
+        if found[3]:
             close((tag,))
             continue
         close(("p",), ("div", "article", "section", "li", "td", "aside", "footer", "header", "nav", "form", "main"))
         if tag in CLOSES:
             close(CLOSES[tag], ("ul", "ol", "dl", "table", "select"))
-        path.append((tag, _signs(found[4])))
+        path.append((tag, _signs(found[5])))
     add(page[at:])
     flush()
     return blocks
