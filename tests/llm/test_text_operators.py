@@ -31,6 +31,16 @@ def test_encoder_gives_the_tokenizers_ids():
         assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:60]
 
 
+def test_added_tokens_in_a_text():
+    from tokenizers import Tokenizer
+
+    plain, ours = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
+    some = ["hello <|endoftext|> world", "a <|STARTOFTEXT|> b<|startoftext|>c", "no <| endoftext |> here", "<|endoftext|", "endoftext", "Hello world"]
+    got = [np.frombuffer(ids, "<u2").tolist() for ids in ours.encode(pa.array(some))]
+    assert got == [plain.encode(text, add_special_tokens=False).ids for text in some]
+    assert got[0] == [3306, 49407, 1002] and 49406 in got[1]
+
+
 @pytest.mark.parametrize("totals, weights", [([5000, 300, 10, 1], [5000, 300, 10, 1]), ([9000, 9000, 500], [1, 3, 2]), ([100, 0, 40], [0, 5, 0]), ([2048], [1]), ([7], [7])])
 def test_schedule_is_a_round_robin_with_carried_deficits(totals, weights):
     schedule = Schedule(totals, weights, 128)

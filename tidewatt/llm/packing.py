@@ -8,6 +8,7 @@ and so the deficits cross partitions without passing rows through one place.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -54,9 +55,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer do not fit in 16 bits")
+        # Texts that hold an added token, in any case, go to the tokenizer whole too.
+        added = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([ODD, *(f"(?i:{token})" for token in sorted(added))])
         self.last = np.zeros(1 << 16, bool)  # ids that end a word
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {"": b""}
@@ -108,7 +111,7 @@ class Encoder:
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
             some = texts.slice(at, end - at)
-            odd = pc.match_substring_regex(some, ODD)
+            odd = pc.match_substring_regex(some, self.odd)
             plain = iter(self._encode_plain(some.filter(pc.invert(odd))))
             whole = iter(some.filter(odd).to_pylist())
             out += [self._ids(next(whole)).tobytes() if is_odd else next(plain) for is_odd in odd.to_pylist()]
