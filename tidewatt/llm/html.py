@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,15 +22,15 @@ from pyspark.sql import functions as F
 
 from .shared import map_arrow
 
-# What goes to the end of the page if it has no end: comments, script and style.
-RAW = r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-QUOTED = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-MARKUP = re.compile(RAW + r"|<(template|noscript|svg|head|select|iframe)(?=[\s/>])[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(" + QUOTED + r")>|<[!?][^>]*>", re.S | re.I)
-SKIPPED = re.compile(RAW + r"|<(/?)(template|noscript|svg|select|iframe)(?=[\s/>])([^>]*)>", re.S | re.I)
-HEAD = re.compile(RAW + r"|(</head\s*>)|<([a-zA-Z][^\s/>]*)", re.S | re.I)
-TITLE_END = re.compile(r"</title\s*>", re.I)
-TAG_END = re.compile(r"[^<>]*>|" + QUOTED + ">", re.S)
-IN_HEAD = frozenset("head title base basefont bgsound link meta template noscript noframes".split())
+# A tag without angle brackets in quotes; possessive, so that no text is gone over twice.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*+)((?:[^<>\"']++|\"[^\"<>]*\"|'[^'<>]*')*+)>")
+NAME = re.compile(r"</?([a-zA-Z][^\s/<>\"']*+)")
+MARKS = re.compile("[>\"']")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style")}
+#: Elements that are skipped with all they hold, if they have an end tag.
+SKIPPED = frozenset("template noscript svg select iframe title".split())
+IN_HEAD = frozenset("head title base basefont bgsound link meta template noscript noframes script style".split())
+LONG_NUMBER = re.compile(r"&#0*([0-9]*);?")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 # The elements of HTML that start a block, and those that have no end tag.
 BLOCKS = frozenset("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -51,7 +52,10 @@ SIGN_OF = {word: sign for sign, words in SIGNS.items() for word in words.split()
 
 @dataclass
 class Block:
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    """A leaf: its innermost block tag, the features that its ancestors give it, and its text."""
+
+    tag: str
+    around: frozenset[str]
     text: str
     linked: int
 
@@ -62,38 +66,144 @@ def _signs(attributes: str) -> tuple[str, ...]:
     return tuple(sorted({SIGN_OF[w] for w in re.split(r"[^a-z]+", words) if w in SIGN_OF}))
 
 
-def _ends(page: str) -> dict[int, int]:
-    """Where skipped elements end, by where they start; only of those with an end tag of their own."""
-    ends: dict[int, int] = {}
-    starts: dict[str, list[int]] = {}
-    for found in SKIPPED.finditer(page):
-        if not found[3]:
+@dataclass(slots=True)
+class Tag:
+    """Markup from ``start`` to ``end``: comments and the like have no name; script and style reach to their end tags."""
+
+    start: int
+    end: int
+    name: str = ""
+    closing: bool = False
+    attributes: str = ""
+
+
+class TagEnds:
+    """Where tags end that have angle brackets or odd quotes inside: at the first ``>`` outside of quotes.
+
+    A quote without a partner stands for itself.  Marks from which no end can
+    be reached are remembered, so all searches together are linear.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set()
+        self.marks: list[int] | None = None
+
+    def after(self, at: int) -> int | None:
+        if self.marks is None:
+            self.marks, last, self.partner = [m.start() for m in MARKS.finditer(self.page)], {}, {}
+            for i in range(len(self.marks) - 1, -1, -1):
+                mark = self.page[self.marks[i]]
+                self.partner[i] = last.get(mark)
+                last[mark] = i
+        seen, i = [], bisect_left(self.marks, at)
+        while i < len(self.marks) and i not in self.dead:
+            seen.append(i)
+            if self.page[self.marks[i]] == ">":
+                return self.marks[i] + 1
+            i = i + 1 if self.partner[i] is None else self.partner[i] + 1
+        self.dead.update(seen)
+        return None
+
+
+def tags_of(page: str) -> list[Tag]:
+    """All markup in page order, in one pass; a ``<`` that starts none is text."""
+    out: list[Tag] = []
+    ends, last, at = TagEnds(page), page.rfind(">"), 0
+    while 0 <= (at := page.find("<", at)):
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            end = len(page) if end < 0 else end + 3
+            out.append(Tag(at, end))
+        elif at > last:
+            at += 1
             continue
-        held = starts.setdefault(found[3].lower(), [])
-        if not found[2]:
-            if not (found[4].endswith("/") and re.fullmatch(QUOTED, found[4], re.S)):
-                held.append(found.start())
-        elif held:
-            ends[held.pop()] = found.end()
-    return ends
-
-
-def _head_end(page: str, at: int, ends: dict[int, int]) -> int:
-    """Where the head that starts before ``at`` ends: at its end tag or the first tag of the body."""
-    while found := HEAD.search(page, at):
-        tag = (found[3] or "").lower()
-        if found[2]:
-            return found.end()
-        if not tag:
-            at = found.end()
-        elif tag not in IN_HEAD:
-            return found.start()
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.index(">", at) + 1
+            out.append(Tag(at, end))
         else:
-            end = TAG_END.match(page, found.end())
-            at = ends.get(found.start()) or (end.end() if end else found.end())
-            if tag == "title" and (end := TITLE_END.search(page, at)):
-                at = end.end()
-    return at
+            if found := TAG.match(page, at):
+                closing, name, attributes, end = found[1], found[2].lower(), found[3], found.end()
+            elif (found := NAME.match(page, at)) and (end := ends.after(found.end())):
+                closing, name, attributes = page[at + 1] == "/", found[1].lower(), page[found.end() : end - 1]
+            else:
+                at += 1
+                continue
+            if name in RAW_END and not closing:
+                shut = RAW_END[name].search(page, end)
+                end = page.find(">", shut.end()) + 1 if shut else 0
+                end = end or len(page)
+            out.append(Tag(at, end, name, bool(closing), attributes))
+        at = end
+    return out
+
+
+def _partners(tags: list[Tag]) -> dict[int, int]:
+    """The end tag of each skipped element that has one of its own."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for i, tag in enumerate(tags):
+        if tag.name in SKIPPED:
+            held = open_.setdefault(tag.name, [])
+            if tag.closing:
+                if held:
+                    out[held.pop()] = i
+            elif not tag.attributes.endswith("/"):
+                held.append(i)
+    return out
+
+
+def _head_end(page: str, tags: list[Tag], partners: dict[int, int], i: int) -> int:
+    """The last tag of the head that starts with tag ``i``: its end tag, or the last one before text or a tag of the body."""
+    while i + 1 < len(tags):
+        following = tags[i + 1]
+        if page[tags[i].end : following.start].strip():
+            break
+        if following.closing and following.name == "head":
+            return i + 1
+        if following.name and following.name not in IN_HEAD and not following.closing:
+            break
+        i = partners.get(i + 1, i + 1)
+    return i
+
+
+class Path:
+    """The open blocks, innermost last, and where those of each tag stand."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.around: list[frozenset[str]] = [frozenset()]
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def open(self, tag: str, signs: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        new = {f"in:{tag}", *(f"sign:{s}" for s in signs)}
+        self.around.append(self.around[-1] if new <= self.around[-1] else self.around[-1] | new)
+
+    def close(self, tags: tuple[str, ...], walls: tuple[str, ...] = ()) -> None:
+        """Close the innermost of ``tags`` and all inside it, unless a wall stands between."""
+        place = self.last(tags)
+        if place < 0 or place < self.last(walls):
+            return
+        while len(self.tags) > place:
+            self.places[self.tags.pop()].pop()
+            self.around.pop()
+
+
+#: Elements without text of their own that part the words round them.
+SPACES = SKIPPED | {"head", "script", "style"}
+WALLS = ("div", "article", "section", "li", "td", "aside", "footer", "header", "nav", "form", "main")
+
+
+def decoded(text: str) -> str:
+    """Character references decoded; a number of more digits than Python reads is no character."""
+    try:
+        return html.unescape(text)
+    except ValueError:
+        return html.unescape(LONG_NUMBER.sub(lambda m: f"&#{m[1]};" if 0 < len(m[1]) < 8 else "\ufffd" if m[1] else m[0], text))
 
 
 def leaf_blocks(page: str) -> list[Block]:
@@ -101,59 +211,55 @@ def leaf_blocks(page: str) -> list[Block]:
 
     Character references are decoded and white space is one space.  Missing
     end tags are closed as browsers do; nothing is cut from a text.  A skipped
-    element without an end tag skips nothing but its start tag.
+    element without an end tag skips nothing but its start tag; comments,
+    scripts and styles without an end go to the end of the page, as in
+    browsers.  The work grows with the page, whatever it holds.
     """
     blocks: list[Block] = []
-    path: list[tuple[str, tuple[str, ...]]] = []
-    pieces: list[str] = []
-    linked, anchors, at, ends = 0, 0, 0, _ends(page)
+    path, pieces, linked, anchors, at = Path(), [], 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+            text = " ".join(decoded("".join(pieces)).split())
             if text:
-                blocks.append(Block(tuple(path), text, linked))
+                blocks.append(Block(path.tags[-1] if path.tags else "-", path.around[-1], text, linked))
             pieces.clear()
         linked = 0
 
-    def add(piece: str) -> None:
-        nonlocal linked
-        if piece:
-            pieces.append(piece)
-            linked += len(piece) if anchors else 0
-
-    def close(tags: tuple[str, ...], walls: tuple[str, ...] = ()) -> None:
-        for i in range(len(path) - 1, -1, -1):
-            if path[i][0] in tags:
-                del path[i:]
-                return
-            if path[i][0] in walls:
-                return
-
-    while found := MARKUP.search(page, at):
-        add(page[at : found.start()])
-        at = found.end()
-        tag = (found[4] or "").lower()
-        if found[2]:
-            at = _head_end(page, at, ends) if found[2].lower() == "head" else ends.get(found.start(), at)
-        if not tag or tag in VOID:
-            if tag == "br" or tag == "hr" or found[1] or found[2]:
+    tags = tags_of(page)
+    partners = _partners(tags)
+    i = 0
+    while i < len(tags):
+        tag = tags[i]
+        if tag.start > at:
+            pieces.append(page[at : tag.start])
+            linked += tag.start - at if anchors else 0
+        name = tag.name
+        if name == "head" and not tag.closing:
+            i = _head_end(page, tags, partners, i)
+        elif i in partners:
+            i = partners[i]
+        at, i = tags[i].end, i + 1
+        if name in SPACES or name in VOID:
+            if name in ("br", "hr") or name in SPACES and not tag.closing:
                 pieces.append(" ")
             continue
-        if tag == "a":
-            anchors = 0 if found[3] else 1
-        if tag not in BLOCKS:
+        if name == "a":
+            anchors = 0 if tag.closing else 1
+        if name not in BLOCKS:
             continue
         flush()
-        if found[3]:
-            close((tag,))
+        if tag.closing:
+            path.close((name,))
             continue
-        close(("p",), ("div", "article", "section", "li", "td", "aside", "footer", "header", "nav", "form", "main"))
-        if tag in CLOSES:
-            close(CLOSES[tag], ("ul", "ol", "dl", "table", "select"))
-        path.append((tag, _signs(found[5])))
-    add(page[at:])
+        path.close(("p",), WALLS)
+        if name in CLOSES:
+            path.close(CLOSES[name], ("ul", "ol", "dl", "table", "select"))
+        path.open(name, _signs(tag.attributes))
+    if at < len(page):
+        pieces.append(page[at:])
+        linked += len(page) - at if anchors else 0
     flush()
     return blocks
 
@@ -161,10 +267,7 @@ def leaf_blocks(page: str) -> list[Block]:
 def features(blocks: list[Block]) -> list[list[str]]:
     out, last = [], max(1, len(blocks) - 1)
     for i, block in enumerate(blocks):
-        names = {"always", f"tag:{block.path[-1][0] if block.path else '-'}", f"place:{i * 4 // (last + 1)}"}
-        for tag, signs in block.path:
-            names.add(f"in:{tag}")
-            names.update(f"sign:{s}" for s in signs)
+        names = {"always", f"tag:{block.tag}", f"place:{i * 4 // (last + 1)}", *block.around}
         words = block.text.count(" ") + 1
         names.add(f"words:{min(words, 128).bit_length()}")
         names.add(f"links:{min(3, 4 * block.linked // max(1, len(block.text)))}")
