@@ -28,10 +28,10 @@ KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 
 NAMED = re.compile(r"(?ai:access_?key(?:_?id)?|client_?id|account|login|user(?:_?name)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._+-]{3,})")
 BARE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+|(?ai:host(?:name)?|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,}(?::[0-9]{2,5})?")
-BLANK = re.compile(r"\n[\x20\t\r]*\n")
-#: The most code points between two parts of one credential.
-REACH = 300
+# A scheme is looked for once in each run of its characters, so that long runs are not gone over again and again.
+URL = re.compile(r"(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]*+://[^\s\"'<>]+)")
+HOST = re.compile(r"(?ai:host(?:name)?|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,}(?::[0-9]{2,5})?")
+BLANK = re.compile(r"\n[\x20\t\r]*+\n")
 
 Span = tuple[int, int]
 
@@ -44,21 +44,22 @@ def random_looking(token: str) -> bool:
     return -sum(c / n * math.log2(c / n) for c in Counter(token).values()) >= 0.75 * math.log2(min(n, 64))
 
 
-class Parts:
-    """Spans in order of start, asked whether one of them lies within reach of a span."""
+class Cover:
+    """The union of spans, asked whether a span meets it."""
 
     def __init__(self, spans: list[Span]):
-        self.spans = sorted(spans)
-        self.starts = [s for s, _ in self.spans]
-        self.ends, reach = [], 0
-        for _, end in self.spans:
-            reach = max(reach, end)
-            self.ends.append(reach)
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
 
-    def near(self, span: Span, scope: Span) -> bool:
-        low, high = max(scope[0], span[0] - REACH), min(scope[1], span[1] + REACH)
-        last = bisect_right(self.starts, high) - 1
-        return last >= 0 and self.ends[last] > low and bisect_left(self.ends, low + 1) <= last
+    def meets(self, span: Span) -> bool:
+        i = bisect_left(self.starts, span[1]) - 1
+        return i >= 0 and self.ends[i] > span[0]
 
 
 def base_spans(text: str) -> dict[str, list[Span]]:
@@ -70,32 +71,46 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     }
 
 
+def candidates(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
+    """What may be part of a credential, though it stands for nothing alone; no part meets a base span."""
+    taken = Cover([s for spans in base.values() for s in spans])
+    marked = "=" in text or ":" in text
+    ends = [m.span(1) for m in URL.finditer(text)] if "://" in text else []
+    urls = Cover(ends)
+    if marked:
+        ends += [m.span() for m in HOST.finditer(text) if not urls.meets(m.span())]
+    ids = [m.span() for m in NAMED.finditer(text) if not taken.meets(m.span())] if marked else []
+    if not (ids or ends or base["access"]):
+        return {"identifier": [], "secret": [], "endpoint": []}
+    weak = [m.span() for m in ASSIGN.finditer(text) if 6 <= len(m[1]) < 12 and not taken.meets(m.span())] if marked else []
+    held = Cover(ids + ends + weak)
+    weak += [m.span() for m in BARE.finditer(text) if not taken.meets(m.span()) and not held.meets(m.span()) and random_looking(m[0])]
+    return {"identifier": ids, "secret": weak, "endpoint": ends}
+
+
 def linked_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """The weak parts that the parts around them complete.
+    """The weak parts that other parts of their scope complete.
 
-    A secret and an identifier complete each other if one of them is strong,
-    or if an endpoint is near too.  An endpoint is reported beside both.  A
-    scope is a paragraph; parts further apart than ``REACH`` do not link.
+    Scopes are paragraphs; parts join the scope whose interval holds them, at
+    any distance inside it.  A secret and an identifier complete each other if
+    one of them is strong, or if the scope has an endpoint too.  An endpoint
+    is reported where both are.
     """
-    marked = "=" in text or ":" in text
-    taken = Parts([s for spans in base.values() for s in spans])
-    free = lambda s: not any(a < s[1] and s[0] < b for a, b in taken.spans)
-    ids = [m.span() for m in NAMED.finditer(text)] if marked else []
-    ends = [m.span() for m in ENDPOINT.finditer(text)] if marked else []
-    if not (ids or ends or base["access"]):
+    found = candidates(text, base)
+    if not any(found.values()):
         return {}
-    strong = base["assign"] + base["hex"]
-    weak = [m.span() for m in ASSIGN.finditer(text) if 6 <= len(m[1]) < 12] if marked else []
-    held = [(a, b) for a, b in ids + ends + weak]
-    weak += [m.span() for m in BARE.finditer(text) if free(m.span()) and random_looking(m[0]) and not any(a < m.end() and m.start() < b for a, b in held)]
-    ids = [s for s in ids if free(s)]
-    cuts = [0, *(m.end() for m in BLANK.finditer(text)), len(text) + 1]
-    scope = lambda s: (cuts[(i := bisect_right(cuts, s[0])) - 1], cuts[i])
-    sure_id, sure_secret, any_id, any_secret, hosts = Parts(base["access"]), Parts(strong), Parts(base["access"] + ids), Parts(strong + weak), Parts(ends)
-    kept_weak = [s for s in weak if sure_id.near(s, scope(s)) or any_id.near(s, scope(s)) and hosts.near(s, scope(s))]
-    kept_ids = [s for s in ids if sure_secret.near(s, scope(s)) or any_secret.near(s, scope(s)) and hosts.near(s, scope(s))]
-    found_id, found_secret = Parts(base["access"] + kept_ids), Parts(strong + kept_weak)
-    return {"identifier": kept_ids, "secret": kept_weak, "endpoint": [s for s in ends if found_id.near(s, scope(s)) and found_secret.near(s, scope(s))]}
+    cuts = [0, *(m.end() for m in BLANK.finditer(text))]
+    scope = lambda span: bisect_right(cuts, span[0])
+    scopes = lambda *spans: {scope(s) for some in spans for s in some}
+    sure_id, sure_secret, hosts = scopes(base["access"]), scopes(base["assign"], base["hex"]), scopes(found["endpoint"])
+    any_id, any_secret = sure_id | scopes(found["identifier"]), sure_secret | scopes(found["secret"])
+    secret, identifier = sure_id | any_id & hosts, sure_secret | any_secret & hosts
+    both = (sure_id & any_secret) | (sure_secret & any_id) | (any_id & any_secret & hosts)
+    return {
+        "identifier": [s for s in found["identifier"] if scope(s) in identifier],
+        "secret": [s for s in found["secret"] if scope(s) in secret],
+        "endpoint": [s for s in found["endpoint"] if scope(s) in both],
+    }
 
 
 def joined(spans: dict[str, list[Span]]) -> str:
@@ -108,7 +123,8 @@ def scan_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Positions count code points of the whole text.  A null text is empty and
     has no spans; null ids, ties and repeated rows keep a row each; an empty
-    table gives an empty one; other columns are left out.
+    table gives an empty one; other columns are left out.  The work grows with
+    the text, whatever it holds.
     """
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
