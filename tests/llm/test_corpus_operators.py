@@ -33,8 +33,9 @@ def plain_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("group", [repeats.GROUP, 1])
+@pytest.mark.parametrize("group", [repeats.GROUP, 3, 1])
 def test_repeats(spark, group):
+    """Groups of any size are found by the same order of columns: those beyond the bound are split until the string has no open byte."""
     passage, edge = prose(70, 90)[:430], prose(71, 200)
     rows = texts() + [(60 + i, prose(300 + i, 50) + passage[: 395 + 5 * i] + prose(400 + i, 50)) for i in range(7)] + [(70, edge), (71, edge[:399]), (72, edge[-401:]), (73, "x" + edge[:400] + "é" + edge[100:500])]
     got = repeats.remove_repeats(documents(spark, rows), group=group).collect()
@@ -102,6 +103,25 @@ def test_near_duplicates(spark, monkeypatch):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("radius", [1, 4])
+def test_large_node_pairs_descend(spark, monkeypatch, radius):
+    """Dense fingerprints in one bucket: groups of over two descend to the leaves."""
+    monkeypatch.setattr(simhash, "SPLIT", 2)
+    rng = np.random.default_rng(radius)
+    base = [0x0123456789ABCDEF, 0xF123456789ABCDEF, 0x0123456789AB0000]
+    values = {int(rng.choice(base)) ^ sum(1 << int(k) for k in set(rng.integers(0, 64, rng.integers(0, 7)).tolist())) for _ in range(90)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    nodes = spark.createDataFrame([(v, v) for v in signed], "node long, fp long")
+    got = {r.node: r.component for r in connected_components(simhash.fingerprint_links(nodes, radius)).collect()}
+    label = {}
+    for v, c in ((v % (1 << 64), got.get(v, v)) for v in signed):
+        label.setdefault(c, set()).add(v)
+    want = {}
+    for v, c in plain_components({v: v for v in sorted(values)}, radius).items():
+        want.setdefault(c, set()).add(v)
+    assert sorted(map(sorted, label.values())) == sorted(map(sorted, want.values()))
+
+
 @pytest.mark.parametrize("radius", [0, 1, 4, 9])
 def test_trie_join(radius):
     rng = np.random.default_rng(radius)
@@ -292,8 +312,8 @@ def test_viterbi_is_the_best_path():
 
 
 def test_archive(spark, monkeypatch):
-    monkeypatch.setattr(warc, "SEGMENT_BYTES", 700)
-    monkeypatch.setattr(warc, "BLOCK_CAPTURES", 4)
+    for name, value in {"FILE_BYTES": 700, "BLOCK_CAPTURES": 4, "INDEX_CAPTURES": 9, "AT_ONCE": 900, "CHUNK": 500}.items():
+        monkeypatch.setattr(warc, name, value)
     rows = [(i, f"https://www.site{i % 5}.example.com/{i}?q=1", f"<p>page {i % 7}</p>" * 9) for i in range(30)] + [(40, None, None), (41, "x", ""), (41, "x", ""), (42, "http://[bad", "<p>ü</p>\r\n\r\nx"), (None, "n", "<p>page 1</p>" * 9), (43, "a\r\nb", "q")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_and_read(pages).collect())
@@ -305,10 +325,38 @@ def test_archive(spark, monkeypatch):
         owner = max(x for x in last[text or ""] if x is not None)
         want[i, len((text or "").encode()), warc.digest_of((text or "").encode()), "response" if i == owner else "revisit", None if i == owner else owner] += 1
     assert got == want
-    archive = warc.write_archive(pages)
-    index = warc.build_index(archive)
-    assert index.count() > 5 and warc.url_key("HTTP://WWW.Example.com:80/a?b#c") == "com,example,www)/a?b"
-    hits = warc.read_captures(archive, warc.look_up(index, [rows[3][1], rows[17][1], "http://nowhere.example/"]), with_payload=True).collect()
-    assert {r.page_id for r in hits} == {3, 17} and all(r.record_type == "revisit" or bytes(r.payload).decode() == rows[r.page_id][2] for r in hits)
+    index = warc.build_index(warc.write_archive(pages))
+    assert len(index) > 2 and warc.url_key("HTTP://WWW.Example.com:80/a?b#c") == "com,example,www)/a?b"
+    asked = spark.createDataFrame([(rows[3][1],), (rows[17][1],), (rows[17][1],), ("http://nowhere.example/",)], "url string")
+    hits = warc.read_captures(warc.look_up(index, asked), with_payload=True).collect()
+    assert {r.page_id for r in hits} == {"3", "17"} and len(hits) == 2 and all(r.record_type == "revisit" or bytes(r.payload).decode() == rows[int(r.page_id)][2] for r in hits)
+    assert warc.look_up(index, asked.limit(0)).count() == 0 and warc.look_up([], asked).count() == 0
     assert {r.record_type for r in warc.archive_and_read(pages, revisit_bytes=10_000).collect()} == {"response"}
     assert warc.archive_and_read(pages.limit(0)).count() == 0
+    named = warc.archive_and_read(pages.selectExpr("concat('p/ü ', page_id) AS page_id", "url", "html")).filter("page_id = 'p/ü 41'").collect()
+    assert len(named) == 2 and all(r.refers_to is None and r.record_type == "response" for r in named)
+
+
+def test_any_reader_opens_the_archive(spark, tmp_path):
+    """The files of an archive, by gzip and the format's own rules: header lines, a length, two line ends."""
+    import gzip
+
+    rows = [(i, f"http://a.example/{i}", f"<p>{'é' * i}</p>") for i in range(12)] + [(90, "http://b.example/", "<p></p>")]
+    captures = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), folder=str(tmp_path)).collect()
+    found = {}
+    for file in tmp_path.glob("*.warc.gz"):
+        data = gzip.decompress(file.read_bytes())
+        while data:
+            head, _, data = data.partition(b"\r\n\r\n")
+            version, *lines = head.decode().split("\r\n")
+            fields = dict(line.split(": ", 1) for line in lines)
+            content, data = data[: int(fields["Content-Length"])], data[int(fields["Content-Length"]) :]
+            assert version == "WARC/1.1" and data.startswith(b"\r\n\r\n") and fields["WARC-Record-ID"].startswith("<urn:uuid:")
+            data = data[4:]
+            if fields["WARC-Type"] != "warcinfo":
+                found[int(fields["X-Page-ID"])] = (fields["WARC-Target-URI"], fields["WARC-Type"], content.partition(b"\r\n\r\n")[2].decode())
+    assert found == {i: (url, "revisit" if i == 0 else "response", "" if i == 0 else text) for i, url, text in rows} and len(captures) == 13
+    for c in captures:  # each range is a gzip member of its own
+        with open(c.file, "rb") as file:
+            file.seek(c.start)
+            assert warc.parse(file.read(c.size)).headers["X-Page-ID"] == c.id

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,34 +23,48 @@ def staging_root(spark: SparkSession) -> str:
     """The folder that all executors share.
 
     It is the one that the cluster names in ``spark.checkpoint.dir``.  Only
-    where that is unset, as in tests, a folder of this machine is made once.
+    where that is unset and all tasks run on this machine, as in tests, a
+    folder of this machine is made once.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        found = spark.sparkContext.getCheckpointDir()
-        if found is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatt-"))
-            found = spark.sparkContext.getCheckpointDir()
-        root = found
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatt-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
+def staging_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes when the application ends."""
+    path = f"{staging_root(spark)}/tidewatt-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return path
+
+
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The table cuts the lineage: whatever reads it survives the loss of
     executors, and ids or orders that the first run gave stay as they are.
-    The folder goes when the application ends.
+    Nulls, repeated rows and empty tables come back as they are; columns need
+    names that differ.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/tidewatt-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path = staging_folder(spark, name)
+    df.write.mode("append").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def open_folder(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder and the path in it, for tasks that write or seek in files themselves."""
+    where = re.sub("^s3[an]:", "s3:", path)
+    return fs.FileSystem.from_uri(where if "://" in where else re.sub("^file:/*", "/", where))
+
+
 _shipped: set[str] = set()
 
 
@@ -62,9 +78,35 @@ def prepare(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+class Known(dict):
+    """What ``compute`` says of a word, kept for a task: at most ``most`` words at a time."""
+
+    def __init__(self, compute: Callable[[str], object], most: int = 100_000):
+        super().__init__()
+        self.compute, self.most = compute, most
+        _known.append(self)
+
+    def __missing__(self, word: str) -> object:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found = self.compute(word)
+        return found
+
+
+_known: list[Known] = []
+
+
 def map_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df`` through a task on Arrow batches; a Python worker, which serves many tasks, gives its memory back after each."""
     prepare(df.sparkSession)
-    return df.mapInArrow(task, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        for known in _known:
+            known.clear()
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,6 +115,7 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A test table, whole: its nulls, repeated rows and columns as they are; an empty one is empty."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
