@@ -13,8 +13,9 @@ groups that can share a repeat at all, and columns are inserted within groups:
    into which one symbol per context is inserted each round, from the right:
    the suffix order is sorted by the new symbol, and common prefixes with the
    neighbour follow from those of the round before.
-5. Groups too large for a task compare the hashes of whole strings instead,
-   which Spark counts without gathering a group.
+5. A group too large for a task is split by further columns: half of the open
+   bytes on one side join the core, on the left for some repeats and on the
+   right for the others, until groups are small or nothing is left open.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ LENGTH, GRAM, PARTS = 400, 40, 4
 #: Bytes that a core leaves open on a side.
 OPEN = -(-(LENGTH - GRAM + 1) // PARTS)
 CORE = LENGTH - OPEN
-#: Contexts of one core beyond which its group is not ordered in one task.
-GROUP = 20_000
+#: Contexts of one core beyond which its group is split by further columns, and contexts that a task orders at once.
+GROUP, AT_ONCE = 2000, 40_000
 #: Texts are sampled in pieces of this many bytes, with an overlap.
 PIECE = 1 << 22
 OUTSIDE = 0xFF  # never occurs in UTF-8
@@ -176,29 +177,74 @@ def _samples(docs: DataFrame, wide: bool) -> DataFrame:
     return map_arrow(docs.select("t", "text"), task, ", ".join(f"{n} long" for n in names))
 
 
-def _compare(rows: DataFrame) -> DataFrame:
-    """Repeats among contexts of equal cores: ``t, n, low, high``."""
+def _compare(rows: DataFrame, width: int) -> DataFrame:
+    """Repeats among contexts of equal cores that leave ``width`` bytes open: ``t, n, low, high``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["core"], 2 * GROUP):
+        for table in whole_groups(batches, ["core"], AT_ONCE):
             core, t, n, place = (table.column(c).to_numpy() for c in ("core", "t", "n", "place"))
-            contexts = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(-1, 2 * OPEN)
-            hit = repeated_windows(core, contexts, OPEN)[:, 1:]
-            left, right = np.minimum(place, OPEN), np.minimum(n - place - CORE, OPEN)
-            column = np.arange(1, OPEN + 1)
-            hit &= (OPEN - column <= left[:, None]) & (column <= right[:, None])
+            contexts = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(-1, 2 * width)
+            hit = repeated_windows(core, contexts, width)
+            left, right = np.minimum(place, width), np.minimum(n - place - (LENGTH - width), width)
+            column = np.arange(width + 1)
+            hit &= (width - column <= left[:, None]) & (column <= right[:, None])
             edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
             row, first = np.nonzero(edge == 1)
             last = np.nonzero(edge == -1)[1] - 1
-            low, high = place[row] - OPEN + 1 + first, place[row] - OPEN + 1 + last + LENGTH
+            low, high = place[row] - width + first, place[row] - width + last + LENGTH
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t[row], n[row], low, high)], ["t", "n", "low", "high"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return map_arrow(rows.repartition(parts, "core").sortWithinPartitions("core", "t", "n", "place"), task, "t long, n long, low long, high long")
+    ordered = rows.select("core", "context", "t", "n", "place").repartition(parts, "core").sortWithinPartitions("core", "t", "n", "place")
+    return map_arrow(ordered, task, "t long, n long, low long, high long")
 
 
-def _contexts(found: DataFrame, hot: bool) -> DataFrame:
-    """The open bytes round each wanted core, or the hashes of all strings that hold it."""
+def _split(rows: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """Contexts with longer cores, and the bytes that they leave open.
+
+    A repeat takes ``width`` bytes of the left and the right open ones
+    together, so half of them on one side at least.  Each context becomes one
+    with that half on the right in its core and one with the half on the left.
+    """
+    half, left = (width + 1) // 2, width // 2
+    core = lambda side, start: F.xxhash64(F.lit(side), F.col("core"), F.substring("context", start, half)).alias("core")
+    cut = lambda a, b: F.concat(F.substring("context", a + 1, left), F.substring("context", b + 1, left)).alias("context")
+    right = rows.filter(F.col("n") - F.col("place") - (LENGTH - width) >= half).select(core("right", width + 1), cut(half, width + half), "t", "n", "place")
+    other = rows.filter(F.col("place") >= half).select(core("left", left + 1), cut(0, width), "t", "n", (F.col("place") - half).alias("place"))
+    return right.unionByName(other), left
+
+
+def _large_groups(rows: DataFrame, group: int) -> DataFrame:
+    """Repeats among contexts of large groups.
+
+    Contexts of a group that are equal as a whole repeat as a whole, and one
+    of them goes on for all.  What is then still large gets longer cores, until
+    groups are small or nothing is open, and so all contexts are equal.
+    """
+    width, found, core = OPEN, [], ["core", "same"]
+    while True:
+        rows = stage(rows.withColumn("same", F.xxhash64("context")), "open-contexts", compression="zstd")
+        classes = rows.groupBy(*core).agg(F.count("*").alias("contexts"), F.min(F.struct("t", "n", "place", "context")).alias("one"))
+        classes = stage(classes, "equal-contexts", compression="zstd")
+        equal = rows.join(classes.filter("contexts > 1").select(*core).hint("merge"), core, "left_semi")
+        low, high = F.greatest(F.col("place") - width, F.lit(0)), F.least(F.col("place") + LENGTH, F.col("n"))
+        found.append(equal.select("t", "n", low.alias("low"), high.alias("high")).filter(F.col("high") - F.col("low") >= LENGTH))
+
+        rows = classes.select("core", "one.context", "one.t", "one.n", "one.place")
+        held = stage(rows.groupBy("core").agg(F.count("*").alias("contexts")).filter("contexts > 1"), "context-groups", compression="zstd")
+        small, large = held.filter(F.col("contexts") <= group).select("core"), held.filter(F.col("contexts") > group).select("core")
+        found.append(_compare(rows.join(small.hint("merge"), "core", "left_semi"), width))
+        if not large.limit(1).count():
+            break
+        rows, width = _split(rows.join(large.hint("merge"), "core", "left_semi"), width)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _contexts(found: DataFrame) -> DataFrame:
+    """The open bytes on both sides of each wanted core."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -206,23 +252,15 @@ def _contexts(found: DataFrame, hot: bool) -> DataFrame:
             rows: list[list] = [[] for _ in names]
             for t, n, packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = unpack.decompress(packed)
-                rolling = Rolling(np.frombuffer(data, np.uint8)) if hot else None
                 for w in wanted:
                     c = w["place"]
-                    if hot:
-                        a = np.arange(max(0, c - OPEN + 1), min(c, n - LENGTH) + 1)
-                        values = [np.full(a.size, w["core"]), rolling.of(a, a + LENGTH, 19).view(np.int64), np.full(a.size, t), np.full(a.size, n), a]
-                    else:
-                        context = data[max(0, c - OPEN) : c].rjust(OPEN, b"\xff") + data[c + CORE : c + LENGTH].ljust(OPEN, b"\xff")
-                        values = [[w["core"]], [context], [t], [n], [c]]
-                    for column, value in zip(rows, values, strict=True):
-                        column.extend(value)
-            kinds = [pa.int64(), pa.int64() if hot else pa.binary(), *[pa.int64()] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names)
-
-    names = ["core", "string" if hot else "context", "t", "n", "place"]
-    kind = "core long, string long" if hot else "core long, context binary"
-    return map_arrow(found.select("t", "n", "packed", "wanted"), task, f"{kind}, t long, n long, place long")
+                    context = data[max(0, c - OPEN) : c].rjust(OPEN, b"\xff") + data[c + CORE : c + LENGTH].ljust(OPEN, b"\xff")
+                    for column, value in zip(rows, (w["core"], context, t, n, c), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names)
+
+    names = ["core", "context", "t", "n", "place"]
+    return map_arrow(found.select("t", "n", "packed", "wanted"), task, "core long, context binary, t long, n long, place long")
 
 
 def _packed(docs: DataFrame, extra: list[str]) -> DataFrame:
@@ -252,15 +290,13 @@ def repeated_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
     cores = classes.select("a.t", "a.n", cores).select("t", "n", "c.core", "c.place").filter("core <> 0").distinct()
     cores = stage(cores, "cores", compression="zstd")
     shared = cores.groupBy("core").agg(F.count("*").alias("contexts")).filter("contexts > 1")
-    wanted = cores.join(shared.hint("merge"), "core").withColumn("hot", F.col("contexts") > group)
-    wanted = stage(wanted.groupBy("t", "n", "hot").agg(F.collect_list(F.struct("core", "place")).alias("wanted")), "wanted-cores", compression="zstd")
+    wanted = cores.join(shared.hint("merge"), "core").withColumn("large", F.col("contexts") > group)
+    wanted = stage(wanted.groupBy("t", "n", "large").agg(F.collect_list(F.struct("core", "place")).alias("wanted")), "wanted-cores", compression="zstd")
     distinct = _packed(docs, []).groupBy("t", "n").agg(F.first("packed").alias("packed"))
     found = distinct.join(wanted.hint("merge"), ["t", "n"])
-    ranges = ranges.unionByName(_compare(_contexts(found.filter("not hot"), hot=False)))
-    if wanted.filter("hot").limit(1).count():
-        strings = stage(_contexts(found.filter("hot"), hot=True), "strings-of-large-groups", compression="zstd")
-        repeated = strings.groupBy("core", "string").agg(F.min(F.expr(OCCURRENCE)).alias("a"), F.max(F.expr(OCCURRENCE)).alias("b")).filter("a <> b").select("core", "string")
-        ranges = ranges.unionByName(strings.join(repeated.hint("merge"), ["core", "string"], "left_semi").select("t", "n", F.col("place").alias("low"), (F.col("place") + LENGTH).alias("high")))
+    ranges = ranges.unionByName(_compare(_contexts(found.filter("not large")), OPEN))
+    if wanted.filter("large").limit(1).count():
+        ranges = ranges.unionByName(_large_groups(_contexts(found.filter("large")), group))
     return ranges
 
 
