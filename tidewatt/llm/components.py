@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import stage
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _staged(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The edges, written, and a count and a sum that tell them from other edges; both come with the writing."""
+    seen = Observation()
+    rows = stage(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")), name)
+    return rows, (seen.get["n"], seen.get["hash"])
 
 
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -21,19 +24,17 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     splits the join where a node has very many neighbours.  Self-loops and
     repeated edges do not matter; no edges give an empty table.
     """
-    edges = stage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _state(edges)
+    edges, state = _staged(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for _ in range(rounds):
         if not state[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stage(large, "large-star")
+        large = stage(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stage(small.filter("u <> v").distinct(), "small-star")
-        before, state = state, _state(edges)
+        before = state
+        edges, state = _staged(small.filter("u <> v").distinct(), "small-star")
         if state == before:
             break
     else:

@@ -22,8 +22,8 @@ from .components import connected_components
 from .perfect_hash import mix
 from .shared import map_arrow, stage, texts, whole_groups
 
-#: About so many fingerprints are joined in one group; larger groups that hold this many times more are split.
-GROUP, SPLIT = 2000, 8192
+#: Fingerprints of a group, about; groups of over ``SPLIT`` descend by ``STEP`` bits.
+GROUP, SPLIT, STEP = 2000, 8192, 4
 #: Node pairs of this many leaf pairs or fewer are compared outright.
 LEAVES = 64
 PIECE = 100_000
@@ -262,28 +262,55 @@ def _chunked(rows: DataFrame, keys: list[str], cap: int, weight: Column | None =
     return rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other"), "side": (F.col("chunk") > F.col("other")).cast("int")}).drop("chunks", "chunk", "other")
 
 
+def _deeper(rows: DataFrame, depth: int, step: int, budgets: np.ndarray) -> DataFrame:
+    """Each row in the node pairs below its own, ``step`` bits on: those whose differing bits the budget still allows."""
+    masks = F.explode(F.array(*(F.lit(m).cast("long") for m in range(1 << step)))).alias("mask")
+    rows = rows.select("node", "turn", "value", "a", "b", "side", masks).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) + F.bit_count("mask") <= int(budgets[depth + step]))
+    own = F.shiftrightunsigned("value", 64 - depth - step)
+    across = F.when(F.col("side") == 0, F.col("b")).otherwise(F.col("a"))
+    other = F.shiftleft(across, step).bitwiseOR(own.bitwiseAND((1 << step) - 1).bitwiseXOR(F.col("mask")))
+    one = F.col("a") == F.col("b")
+    rows = rows.select("node", "turn", "value", own.alias("own"), other.alias("other"), F.when(one, (own > other).cast("int")).otherwise(F.col("side")).alias("side"))
+    return rows.select("node", "turn", "value", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("a"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("b"), "side")
+
+
 def fingerprint_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Edges ``u, v`` that connect the ``node`` of ``nodes`` as all pairs of ``fp`` within the radius would."""
+    """Edges ``u, v`` that connect the ``node`` of ``nodes`` as all pairs of ``fp`` within the radius would.
+
+    A group is a pair of nodes ``a, b`` of the trie of one rotation, at one
+    depth: the fingerprints below them, or below one node if they are equal.
+    Groups of over ``SPLIT`` fingerprints descend; a fingerprint is copied only
+    to the node pairs that the budget of the depth allows it.
+    """
     starts, budgets = [0, *block_ends(radius)[:-1]], depth_budgets(radius)
-    count = nodes.count()
-    bits = min(block_ends(radius)[0], max(0, (count // GROUP).bit_length()))
+    depth = min(block_ends(radius)[0], max(0, (nodes.count() // GROUP).bit_length()))
     turned = F.explode(F.array(*(F.struct(F.lit(i).alias("turn"), (F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", 64 - s)) if s else F.col("fp")).alias("value")) for i, s in enumerate(starts)))).alias("r")
-    rows = nodes.select("node", turned).select("node", "r.turn", "r.value", (F.shiftrightunsigned("r.value", 64 - bits) if bits else F.lit(0)).cast("int").alias("bucket"))
+    root = F.shiftrightunsigned("r.value", 64 - depth) if depth else F.lit(0).cast("long")
+    rows = nodes.select("node", turned).select("node", "r.turn", "r.value", root.alias("a"), root.alias("b"), F.lit(0).alias("side"))
 
     def links(table: pa.Table) -> pa.Table:
         values, nodes, side = (table.column(c).to_numpy() for c in ("value", "node", "side"))
         values = values.view(np.uint64)
         order = np.lexsort((values, side))
         values, nodes, middle, n = values[order], nodes[order], int((side == 0).sum()), len(side)
-        pair = [0, middle, middle, n, 0] if table.column("i")[0] != table.column("j")[0] else [0, n, 0, n, 0]
-        if pair[0] == pair[1] or pair[2] == pair[3]:
-            return pa.table({"u": nodes[:0], "v": nodes[:0]})
+        pair = [0, n, 0, n, 0] if table.column("a")[0] == table.column("b")[0] else [0, middle, middle, n, 0]
         labels = trie_links(values, np.array([pair]), radius, budgets)
         moved = labels != np.arange(n)
         return pa.table({"u": nodes[moved], "v": nodes[labels[moved]]})
 
-    rows = _chunked(rows, ["turn", "bucket"], max(SPLIT, 4 * (count >> bits)))
-    return rows.groupBy("turn", "bucket", "i", "j").applyInArrow(links, "u long, v long").distinct()
+    group, edges = ["turn", "a", "b"], None
+    while True:
+        sizes = rows.groupBy(*group).agg(F.count("*").alias("count"), F.min("side").alias("low"), F.max("side").alias("high"))
+        if edges is not None:  # node pairs with nothing below one of them
+            sizes = stage(sizes.filter("a = b OR low < high"), "node-pairs")
+            rows = rows.join(sizes.select(*group), group, "left_semi")
+        large = stage(sizes.filter(F.col("count") > SPLIT).select(*group), "large-node-pairs")
+        new = rows.join(large, group, "left_anti").groupBy(*group).applyInArrow(links, "u long, v long")
+        edges = new if edges is None else edges.unionByName(new)
+        if not large.limit(1).count():
+            return edges.distinct()
+        rows, depth = _deeper(rows.join(large, group, "left_semi"), depth, step := min(STEP, 64 - depth), budgets), depth + step
+        rows = stage(rows, "deeper-node-pairs")
 
 
 def alike_links(nodes: DataFrame, rows: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
