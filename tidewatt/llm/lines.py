@@ -8,8 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .perfect_hash import PerfectHash, mix
 from .shared import map_arrow, stage
@@ -21,6 +22,8 @@ MIN_CHARS = 10
 HOT_KEYS = 4096
 SHARD_KEYS = 500_000
 SHARD_PROBES = 1_000_000
+#: Bits of the sieve that spares lines without a repeated key the way to their shard; its size does not grow.
+SIEVE = 1 << 26
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int]]:
@@ -99,6 +102,16 @@ def _probe(lines: pa.Table, shard: pa.Table) -> pa.Table:
     return lines.select(["k1", "k2", "place"]).filter(pa.array(known & (owner != get("id"))))
 
 
+def _sieve(keys: DataFrame) -> np.ndarray:
+    """A bit for each place that a key falls on."""
+    at = F.col("low").bitwiseAND(SIEVE - 1)
+    bits = F.expr("shiftleft(1L, CAST(low & 63 AS INT))")
+    rows = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bits).alias("bits")).toPandas()
+    out = np.zeros(SIEVE >> 6, np.uint64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
 def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drop lines that another document of smaller id holds too.
 
@@ -110,39 +123,47 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     Rows that repeat an id are one document and keep the same lines.  Rows
     with a null id are one document that comes after all others.  A null text
-    is one empty line.  An empty table gives an empty one.
+    is one empty line.  An empty table gives an empty one.  Ids may be of any
+    type that has an order; those that are no whole numbers are known to the
+    arrays by a 64-bit hash.
 
     Keys are 128-bit hashes.  Of the repeated ones, those that hold over
     1/4096 of all lines go to one small array set that every task has; the
-    rest lie in shards, to which lines go by their hash.
+    rest lie in shards.  A line goes to its shard only if the sieve, which
+    every task has too, does not tell that its key is no repeated one.
     """
     spark = df.sparkSession
-    id_ = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1))
+    name, whole = F.col(f"`{id_col}`"), isinstance(df.schema[id_col].dataType, T.IntegralType)
+    id_ = F.coalesce(name.cast("long"), F.lit(2**63 - 1)) if whole else F.xxhash64(name.isNull(), name)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    docs = df.select(id_.alias("id"), text.alias("text"), F.xxhash64(F.lit(1), id_, text).alias("k1"), F.xxhash64(F.lit(2), id_, text).alias("k2"), F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in (text_col, "n_lines", "n_dropped"))).alias("rest"))
+    docs = df.select(id_.alias("id"), text.alias("text"), (F.lit(None).cast("long") if whole else name).alias("name"), F.xxhash64(F.lit(1), id_, text).alias("k1"), F.xxhash64(F.lit(2), id_, text).alias("k2"), F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in (text_col, "n_lines", "n_dropped"))).alias("rest"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = [], []
-            for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows, sizes = [], []
+            for t in batch.column(2).to_pylist():
                 found = set(line_hashes(t)[1])
                 rows += found
-                ids += [i] * len(found)
+                sizes.append(len(found))
             low, high = halves(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(ids, pa.int64())], ["low", "high", "id"])
-
-    held = map_arrow(docs.select("id", "text"), hashed, "low long, high long, id long").groupBy("low", "high")
-    keys = held.agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count("*").alias("lines"))
+            own = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), batch.column(0).take(own), batch.column(1).take(own)], ["low", "high", "id", "name"])
+
+    kind = "long" if whole else df.schema[id_col].dataType.simpleString()
+    held = map_arrow(docs.select("id", "name", "text"), hashed, f"low long, high long, id long, name {kind}").groupBy("low", "high")
+    end = lambda pick: pick("id") if whole else pick(F.struct(F.col("name").isNull(), "name", "id")).getField("id")
+    every_line = Observation()
+    keys = held.agg(end(F.min).alias("owner"), end(F.max).alias("last"), F.count("*").alias("lines")).observe(every_line, F.sum("lines").alias("lines"))
     keys = stage(keys.filter("owner <> last").select("low", "high", "owner", "lines"), "repeated-lines")
     total, count = keys.agg(F.coalesce(F.sum("lines"), F.lit(0)), F.count("*")).first()
     bar = total // HOT_KEYS
     hot = keys.filter(F.col("lines") > bar).toPandas() if total else None
     hottest = Shard.build(*(hot[c].to_numpy(np.int64) for c in ("low", "high", "lines", "owner"))) if total else None
-    every = spark.sparkContext.broadcast(hottest)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards, salts = max(parts, -(-count // SHARD_KEYS), -(-total // SHARD_PROBES)), 1 + bar // SHARD_PROBES
+    shards, salts = max(parts, -(-count // SHARD_KEYS), -(-(every_line.get["lines"] or 0) // SHARD_PROBES)), 1 + bar // SHARD_PROBES
 
     cold = keys.filter(F.col("lines") <= bar).withColumn("shard", F.pmod("low", F.lit(shards)).cast("int"))
+    every = spark.sparkContext.broadcast((hottest, _sieve(cold)))
     index = stage(cold.groupBy("shard").applyInArrow(_build, SHARD_SCHEMA), "line-shards")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +178,10 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                     column += values
             low, high = halves(hashes)
             ids, k1, k2, place = (np.array(c, np.int64) for c in columns)
-            known, owner = every.value.owner(low, high) if every.value else (np.zeros(low.size, bool), ids)
-            keep = ~known | (owner != ids)
+            hottest, sieve = every.value
+            known, owner = hottest.owner(low, high) if hottest else (np.zeros(low.size, bool), ids)
+            at = low.view(np.uint64) & np.uint64(SIEVE - 1)
+            keep = np.where(known, owner != ids, (sieve[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
             arrays = [a[keep] for a in (k1, k2, place, ids, low, high, known)]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["k1", "k2", "place", "id", "low", "high", "known"])
 
