@@ -360,3 +360,129 @@ def test_any_reader_opens_the_archive(spark, tmp_path):
         with open(c.file, "rb") as file:
             file.seek(c.start)
             assert warc.parse(file.read(c.size)).headers["X-Page-ID"] == c.id
+
+
+# Plain versions
+
+
+def test_word_vectors_equal_a_plain_count(spark):
+    """Context sums word by word over all documents, and the mean of the vectors of a text."""
+    rows = [(i, t) for i, t in texts() if len(t or "") < 5000]
+    got = quality.context_sums(documents(spark, rows), "text")
+    index = quality.index_vectors().astype(np.int64)
+    want = np.zeros((quality.BUCKETS + 1, quality.WIDTH), np.int64)
+    for _, text in rows:
+        ids = quality.word_numbers(text or "").tolist()
+        for i, word in enumerate(ids):
+            for j in range(max(0, i - quality.REACH), min(len(ids), i + quality.REACH + 1)):
+                if j != i:
+                    want[word] += index[ids[j]]
+    assert (got == want).all()
+    vectors = np.random.default_rng(2).normal(size=(quality.BUCKETS + 1, quality.WIDTH)).astype(np.float32)
+    found = [t or "" for _, t in rows]
+    means = [np.mean([vectors[i].astype(float) for i in quality.word_numbers(t)], axis=0) if quality.word_numbers(t).size else np.zeros(quality.WIDTH) for t in found]
+    assert np.allclose(quality.pooled(found, vectors), means, atol=1e-5)
+
+
+def test_leaks_equal_a_plain_scan(spark):
+    """Every window of every document against every item, by exact similarity."""
+    import random
+
+    from tidewatt.llm.decontaminate import SIMILARITY, WORDS, similarity, words_of
+
+    rng = random.Random(11)
+    items = [(i, prose(500 + i, rng.choice([3, 8, 20, 45, 90]))) for i in range(24)] + [(30, "one two three"), (31, "a a a a a a a a a a"), (32, None), (33, "...")]
+    docs = []
+    for i in range(70):
+        words = prose(900 + i, rng.randint(0, 60)).split()
+        for _ in range(rng.randint(1, 3)):
+            copy = (rng.choice(items)[1] or "").split()
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+                if copy:
+                    at = rng.randrange(len(copy))
+                    copy[at : at + 1] = rng.choice([["other"], [], [copy[at], "more"]])
+            at = rng.randint(0, len(words))
+            words[at:at] = copy
+        docs.append((i, " ".join(words)))
+    want = {}
+    for i, text in docs:
+        words = words_of(text)
+        for item, gold in items:
+            gold = words_of(gold or "")
+            best = max((similarity(words[k : k + len(gold)], gold, min(WORDS, len(gold))) for k in range(len(words) - len(gold) + 1)), default=0) if gold else 0
+            if best >= SIMILARITY:
+                want[i, item] = round(best, 9)
+    found = leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found} == want and len(want) > 40
+
+
+def test_viterbi_finds_the_best_labels():
+    from itertools import product
+
+    field, rng = html.default_field(), np.random.default_rng(5)
+    names = sorted(field.index)
+    for _ in range(40):
+        chain = [rng.choice(names, rng.integers(1, 6), replace=False).tolist() + ["unknown"] for _ in range(rng.integers(1, 9))]
+        emit = [sum(field.weights[field.index[n]] for n in some if n in field.index) for some in chain]
+        score = lambda labels: sum(e[y] for e, y in zip(emit, labels, strict=True)) + sum(field.steps[a][b] for a, b in zip(labels, labels[1:], strict=False))  # noqa: B023, E731
+        assert score(field.viterbi(chain)) == pytest.approx(max(map(score, product((0, 1), repeat=len(chain)))))
+
+
+def test_blocks_equal_a_plain_parser(spark):
+    """The blocks of given pages, by Python's own HTML parser."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.text, self.skipped = [], "", 0
+
+        def flush(self):
+            if self.text.split():
+                self.blocks.append(" ".join(self.text.split()))
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("head", "script", "style", "svg", "template", "noscript", "select", "iframe"):
+                self.skipped += 1
+                self.text += " "
+            elif tag in html.BLOCKS:
+                self.flush()
+            elif tag in ("br", "hr"):
+                self.text += " "
+
+        def handle_endtag(self, tag):
+            if tag in ("head", "script", "style", "svg", "template", "noscript", "select", "iframe"):
+                self.skipped -= 1
+            elif tag in html.BLOCKS:
+                self.flush()
+
+        def handle_data(self, data):
+            if not self.skipped:
+                self.text += data
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    for page in pages:
+        plain = Plain()
+        plain.feed(page or "")
+        plain.close()
+        plain.flush()
+        assert [b.text for b in html.leaf_blocks(page or "")] == plain.blocks
+
+
+def test_pages_without_end_tags_keep_their_text():
+    blocks = lambda page: [b.text for b in html.leaf_blocks(page)]
+    assert blocks("<html><head><title>T</title><body><p>Hello world text.</p>") == ["Hello world text."]
+    for tag in ("select", "noscript", "svg", "iframe", "template"):
+        assert blocks(f"<p>one<{tag}><p>two</p>") == ["one", "two"] and blocks(f"<p>one<{tag}>no</{tag}><p>two</p>") == ["one", "two"]
+    assert blocks("<head>Hello <p>there") == ["Hello", "there"] and blocks("3 < 5 and <b>6</b> > 2") == ["3 < 5 and 6 > 2"]
+    assert blocks("<p title='a>b' data-x=\"<i>\">t</p>") == ["t"] and blocks("&#" + "1" * 5000 + ";&#0065;") == ["\ufffdA"]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<a " * 300_000, '<a "' * 200_000, '<a ">" ' * 100_000, "<div>a" * 50_000, "<li><tr><dt><ul>" + "<div>" * 20_000 + "<li><tr><dt>" * 20_000, "<!-- " * 100_000, "<svg>" * 100_000, "<" * 300_000, "<head>" * 50_000, '<p class="' * 50_000):
+        html.features(html.leaf_blocks(page))
+    assert time.perf_counter() - began < 40

@@ -4,12 +4,13 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewatt.llm.queries import QUERIES, SQL
 from tidewatt.llm.shared import stage
 
-from .corpus import documents, prose
+from .corpus import documents, prose, texts
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -39,6 +40,25 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids["packing"]
 
 
+def test_stages_take_any_rows_and_names(spark, tmp_path):
+    """Null, empty and very long texts, repeated rows, null ids, and columns that are named like results."""
+    rows = texts()
+    docs = documents(spark, rows).withColumns({"n_dropped": F.lit("d"), "part": F.lit("p"), "own_n_lines": F.lit("o"), "leaks_1": F.lit("x")})
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(1000, 30)), (2, None), (None, "x y z"), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, function in corpus_pipeline.STAGES:
+        assert function(spark, docs.limit(0), str(tmp_path)).count() == 0 or name == "packing"
+        out = function(spark, docs, str(tmp_path))
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {i for i, _ in rows}
+            continue
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all((r.score, r.n_lines, r.rest, r.leaks, r.n_dropped, r.part, r.own_n_lines, r.leaks_1) == ("s", "l", "r", "k", "d", "p", "o", "x") for r in found)
+        if name in ("line dedup", "benchmark decontamination"):
+            assert len(found) == len(rows)
+
+
 def test_one_row_of_each_group_stays(spark):
     near = prose(7, 80).split()
     rows = [(None, prose(i, 80)) for i in range(5)]  # groups of their own, without ids

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidewatt.llm import media
+from tidewatt.llm import media, secrets
 from tidewatt.llm.lines import Shard, dedup_lines
 from tidewatt.llm.packing import Encoder, Schedule, pack
 from tidewatt.llm.perfect_hash import PerfectHash
@@ -54,6 +54,45 @@ def test_schedule_is_a_round_robin_with_carried_deficits(totals, weights):
             assert all(abs(x - 128 * k * t / sum(totals)) < len(totals) + 1 for x, t in zip(state, totals, strict=True))
 
 
+def test_schedule_equals_serving_the_queues_in_turn():
+    """Each queue in turn gets its part of what the window has left, and what rounding leaves it is carried to the next window."""
+    totals, weights, window = [70_000, 31_000, 9_000, 500, 12], [70_000, 31_000, 9_000, 500, 12], 256
+    schedule = Schedule(totals, weights, window)
+    served, credit = [0] * len(totals), [0] * len(totals)
+    for k in range(1, schedule.starts[1] + 1):
+        left, total = window, sum(weights)
+        for i in range(len(totals) - 1, 0, -1):
+            credit[i] += left * (total - weights[i])
+            rest, credit[i] = divmod(credit[i], total)
+            served[i] += left - rest
+            left, total = rest, total - weights[i]
+        served[0] += left
+        assert schedule.before(k) == served
+    assert schedule.starts[1] > 400
+
+
+def test_small_sources_share_a_queue(spark, monkeypatch):
+    monkeypatch.setattr("tidewatt.llm.packing.QUEUES", 3)
+    rows = documents(spark, [(i, prose(i, 200 if i % 2 else 20)) for i in range(40)]).selectExpr("doc_id", "text", "IF(doc_id % 2 = 1, 'large', concat('small', doc_id)) AS source")
+    found = pack(rows, tokenizer_path(), window=256).collect()
+    assert {r.doc_id for r in found} == set(range(40)) and {r.source for r in found} == {"large", *(f"small{i}" for i in range(0, 40, 2))}
+    held = defaultdict(list)
+    for r in found:
+        held[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in w) == 256 for k, w in held.items() if k < max(held))
+
+
+def test_words_are_known_for_a_bounded_time(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr("tidewatt.llm.packing.CACHED_BYTES", 2000)
+    plain, ours = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
+    for seed in range(30):
+        text = prose(seed % 20, 60)
+        assert np.frombuffer(ours.encode(pa.array([text]))[0], "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert ours.held < 30_000
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -105,7 +144,7 @@ def test_secrets(spark):
     found = {r.doc_id: r for r in scan_secrets(documents(spark, [(i, t) for i, (t, _) in cases.items()])).collect()}
     assert {i: (r.n_assign, r.n_access, r.n_hex) for i, r in found.items()} == {i: c for i, (_, c) in cases.items()}
     assert found[1].base_sha256 == hashlib.sha256(b"assign:0:27,hex:9:27").hexdigest() and found[1].spans == "assign:0:27,hex:9:27"
-    assert {s.split(":")[0] for s in found[6].spans.split(",")} == {"access", "secret", "endpoint"}
+    assert {s.split(":")[0] for s in found[6].spans.split(",")} == {"access", "identifier", "secret", "endpoint"}
     assert found[7].spans == "access:0:20" and found[5].spans == "" and found[8].spans == ""
     assert {s.split(":")[0] for s in found[9].spans.split(",")} == {"identifier", "secret", "endpoint"}
     assert scan_secrets(documents(spark)).count() == len(texts()) and scan_secrets(empty(spark)).count() == 0
@@ -121,6 +160,52 @@ def test_base_spans_equal_a_plain_scan():
         assert found["assign"] == [m.span() for m in re.finditer(r"([pP]assword|[pP]asswd|[sS]ecret|[tT]oken|[aA]pi_?[kK]ey)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 12]
 
 
+def plain_links(text):
+    """Parts by scanning each paragraph alone, with all pairs of spans compared."""
+    assign = r"(?:[pP]assword|[pP]asswd|[sS]ecret|[tT]oken|[aA]pi_?[kK]ey)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    user = r"(?:access_?key|client_?id|account|login|user(?:_?name)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._+-]{3,}"
+    apart = lambda s, others: all(b <= s[0] or s[1] <= a for a, b in others)
+    out, at = Counter(), 0
+    for scope in re.split(r"(\n[\x20\t\r]*\n)", text):
+        find = lambda pattern: [m for m in re.finditer(pattern, scope)]  # noqa: B023, E731
+        strong = [m.span() for m in find(assign) if len(m[1]) >= 12] + [m.span() for m in find("[0-9a-f]{16,}")]
+        access = [m.span() for m in find("AKIA[A-Z0-9]{14,}")]
+        ends = [m.span() for m in find(r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+")]
+        ends += [m.span() for m in find(r"(?:host|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,}(?::[0-9]{2,5})?") if apart(m.span(), ends)]
+        ids = [m.span() for m in find(user) if apart(m.span(), strong + access)]
+        weak = [m.span() for m in find(assign) if 6 <= len(m[1]) < 12 and apart(m.span(), strong + access)]
+        weak += [m.span() for m in find("[A-Za-z0-9+/_-]{20,}={0,2}") if apart(m.span(), strong + access + ids + ends + weak) and secrets.random_looking(m[0])]
+        for kind, spans, good in (
+            ("secret", weak, access or (ids and ends)),
+            ("identifier", ids, strong or (weak and ends)),
+            ("endpoint", ends, (access and (strong or weak)) or (strong and ids) or (ids and weak)),
+        ):
+            out.update((kind, at + a, at + b) for a, b in spans if good)
+        at += len(scope)
+    return out
+
+
+def test_links_equal_a_plain_scan():
+    import random
+
+    rng = random.Random(7)
+    bits = ["user=joe", "login: eva.m", "AKIA" + "B7" * 8, "kJ8sLq2Zx0Vb7NmQ4Wt1Yp", "password=hunter22", "secret=" + "x1" * 9, "https://db.example.com/x", "host=db.example.com:5432", "0123456789abcdef77", "plain words here", "server : 10.0.0.1", "9+git+ssh://h/p", "\n\n", "\n \n", "\n", "x" * 400]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) + rng.choice([" ", "\n", ", "]) for _ in range(rng.randint(1, 14)))
+        found = secrets.linked_spans(text, secrets.base_spans(text))
+        assert Counter((k, a, b) for k, spans in found.items() for a, b in spans) == plain_links(text), text
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("a" * 400_000, "a." * 200_000, "token=" * 80_000, "user=abc " * 40_000 + "x=" * 1000, "Ab1" * 150_000 + " http://x", "AKIA" * 100_000, "\n " * 200_000, "password: abcdefg\n\n" * 20_000):
+        base = secrets.base_spans(text)
+        secrets.linked_spans(text, base)
+    assert time.perf_counter() - began < 15
+
+
 # Media
 
 
@@ -173,7 +258,9 @@ def test_perfect_hash():
     shard = Shard.from_row({k: v[0] for k, v in shard.to_row().items()})
     known, owner = shard.owner(keys.view(np.int64), keys[::-1].copy().view(np.int64))
     assert known.all() and (owner == np.arange(keys.size)).all()
-    assert not shard.owner(keys.view(np.int64) + 1, keys.view(np.int64))[0].any()
+    foreign = np.random.default_rng(4).integers(0, 2**63, keys.size)  # fingerprints that no key has
+    assert not np.isin(foreign, keys.view(np.int64)).any()
+    assert not shard.owner(keys.view(np.int64) + 1, foreign)[0].any() and not shard.owner(keys.view(np.int64), foreign)[0].any()
     with pytest.raises(ValueError):
         PerfectHash.build(np.array([5, 5], np.uint64))
 
@@ -198,9 +285,11 @@ def test_line_dedup(spark, monkeypatch):
     rows = texts() + [(50, "  A LINE TO REPEAT\nshort\nown line of fifty\nA line to repeat\t"), (51, "a line to repeat\nshort"), (51, "another row of it\nA Line To Repeat"), (52, "ÀÉ upper accents\nàé upper accents"), (53, "àé UPPER accents")]
     docs = documents(spark, rows)
     got = dedup_lines(docs)
-    assert set(got.columns) == set(docs.columns) and {r.rest for r in got.collect()} == {"r"}
+    assert set(got.columns) == {*docs.columns, "n_dropped"} and {r.rest for r in got.collect()} == {"r"}
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == plain_dedup(rows)
     monkeypatch.setattr("tidewatt.llm.lines.HOT_KEYS", 1)  # all keys lie in shards
     monkeypatch.setattr("tidewatt.llm.lines.SHARD_PROBES", 3)  # and their probes are salted
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in dedup_lines(docs).collect()) == plain_dedup(rows)
     assert dedup_lines(empty(spark)).count() == 0
+    named = dedup_lines(docs.selectExpr("concat('doc', lpad(doc_id, 4, '0')) AS doc_id", "text", "rest"))
+    assert Counter((r.doc_id and int(r.doc_id[3:]), r.n_lines, r.n_dropped, r.text) for r in named.collect()) == plain_dedup(rows)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .perfect_hash import mix
-from .shared import add_columns
+from .shared import Known, add_columns, unused
 
 WORDS, SIMILARITY = 5, 0.8
 #: Differing bits at which a window still is a candidate.  At a similarity of
@@ -21,21 +21,12 @@ WORDS, SIMILARITY = 5, 0.8
 RADIUS = 24
 #: Characters of items that one pass over the documents takes with it.
 BLOCK_CHARS = 1 << 24
-CACHED_WORDS = 400_000
 
 WORD = re.compile(r"\w+")
 ODD = 0x9E3779B97F4A7C15
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_hashes = WordHashes()
+_hashes = Known(xxhash.xxh3_64_intdigest)
 
 
 def words_of(text: str) -> list[str]:
@@ -186,14 +177,14 @@ def mark_leaks(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", i
     for block in range(blocks):
         some = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").collect()
         shared = df.sparkSession.sparkContext.broadcast(Benchmark([(r.item, r.text) for r in some]))
-        name = leaks_col if block == 0 else "__more"
+        name = leaks_col if block == 0 else unused(out, "more_leaks")
 
         def find(found: list[str], shared=shared) -> list[pa.Array]:
             return [pa.array([[{"item_id": i, "similarity": s, "start_word": w} for i, s, w in shared.value.leaks(t)] for t in found], _LEAK_ARROW)]
 
         out = add_columns(out, text_col, find, {name: LEAK})
         if block:
-            out = out.withColumn(leaks_col, F.concat(leaks_col, "__more")).drop("__more")
+            out = out.withColumn(leaks_col, F.concat(f"`{leaks_col}`", f"`{name}`")).drop(name)
     return out
 
 

@@ -17,15 +17,19 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import map_arrow, stage
 
 WINDOW = 2048
 END_ID = 1
-#: Words from which on a Python worker starts a new generation of known ids; it keeps two.
-CACHED_WORDS = 400_000
+#: Bytes of words and ids from which on a Python worker starts a new generation of them; it keeps two while a task runs.
+CACHED_BYTES = 3 << 24
+#: A source with less than this share of all characters has no queue of its own: such sources share one.
+QUEUES = 128
+#: Whole numbers that a task keeps of windows that it has looked at.
+KEPT_NUMBERS = 250_000
 
 
 # Tokens ---------------------------------------------------------------------
@@ -48,7 +52,8 @@ class Encoder:
     """Ids of whole texts as unsigned 16-bit integers, word by word.
 
     The tokenizer's words do not influence each other, so each word is
-    encoded once for a Python worker and looked up after that.
+    encoded once for a task and looked up after that, as long as the words of
+    two generations hold it.
     """
 
     def __init__(self, path: str):
@@ -62,20 +67,27 @@ class Encoder:
         self.odd = "|".join([ODD, *(f"(?i:{token})" for token in sorted(added))])
         self.last = np.zeros(1 << 16, bool)  # ids that end a word
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Give back what the words take; the tokenizer itself stays."""
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.held = 0
+        pa.default_memory_pool().release_unused()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
 
     def _learn(self, words: list[str]) -> None:
         """Encode words, many in one text; the ids that end a word part them again."""
-        if len(self.young) > CACHED_WORDS:
-            self.young, self.old = {"": b""}, self.young
+        if self.held > CACHED_BYTES:
+            self.young, self.old, self.held = {"": b""}, self.young, 0
         fresh = []
         for word in words:
             if word in self.young:
                 continue
+            self.held += 200 + 2 * len(word)
             if (found := self.old.get(word)) is not None:
                 self.young[word] = found
             else:
@@ -214,62 +226,85 @@ class Schedule:
 # Spark ----------------------------------------------------------------------
 
 
-def tokenize(df: DataFrame, tokenizer: str, *, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Ids of each document, and where it stands in its part of its source's queue."""
+def tokenize(df: DataFrame, tokenizer: str, queues: list[str], *, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Ids of each document, and where it stands in its part of its queue."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, reached, end = encoder(tokenizer).encode, {}, np.array([END_ID], "<u2").tobytes()
+        coder, reached, end = encoder(tokenizer), {}, np.array([END_ID], "<u2").tobytes()
         for batch in batches:
-            ids = [x + end for x in encode(batch.column("text"))]
+            ids = [x + end for x in coder.encode(batch.column("text"))]
             starts = []
             for queue, x in zip(batch.column("queue").to_pylist(), ids, strict=True):
                 starts.append(reached.get(queue, 0))
                 reached[queue] = starts[-1] + len(x) // 2
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("queue"), batch.column("part"), pa.array(starts, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "queue", "part", "start_in_part", "doc_tokens", "ids"],
+                [batch.column("doc_id"), batch.column("queue"), batch.column("part"), pa.array(starts, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary()), batch.column("source")],
+                ["doc_id", "queue", "part", "start_in_part", "doc_tokens", "ids", "source"],
             )
+        coder.forget()
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(
         F.col(f"`{id_col}`").alias("doc_id"),
-        F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("")).alias("queue"),
+        F.when(queue_of(source_col).isin(queues), queue_of(source_col)).otherwise(REST).alias("queue"),
         F.spark_partition_id().alias("part"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
     )
-    return map_arrow(rows, task, f"doc_id {kind}, queue string, part int, start_in_part long, doc_tokens long, ids binary")
+    return map_arrow(rows, task, f"doc_id {kind}, queue string, part int, start_in_part long, doc_tokens long, ids binary, source string")
+
+
+#: The queue of the sources that have none of their own.
+REST = "*"
+
+
+def queue_of(source_col: str) -> Column:
+    """A source's name after a mark; a null source is a source too."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("-"))
+
+
+def own_queues(df: DataFrame, text_col: str, source_col: str) -> list[str]:
+    """Sources with at least one ``QUEUES``-th of all characters, so ``QUEUES`` at most."""
+    held = df.groupBy(queue_of(source_col).alias("queue")).agg(F.sum(F.coalesce(F.length(f"`{text_col}`"), F.lit(0)) + 1).alias("size"))
+    total = held.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
+    return sorted(r.queue for r in held.join(F.broadcast(total), F.col("size") * QUEUES >= F.col("total")).select("queue").collect())
 
 
 def pack(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str | None, int] | None = None, window: int = WINDOW) -> DataFrame:
     """Pack all documents into windows: one row for each piece of a document.
 
-    ``targets`` maps sources to whole-number weights; without it each source
-    has its share of the corpus in every window.  Sources that it leaves out
-    come last.  The driver holds one total for each source, not more.
+    ``targets`` maps sources to whole-number weights; sources that it leaves
+    out come last, from one queue.  Without it each source has its share of
+    the corpus in every window; sources with less than one ``QUEUES``-th of
+    all characters share a queue, so the driver holds at most that many
+    totals.  A window's state is kept for ``KEPT_NUMBERS`` numbers at most.
 
     A null text is empty and a null source is a source of its own.  Documents
     with a repeated id are packed each for itself.  An empty table gives an
     empty one.  Columns that are not named stay out.
     """
     spark = df.sparkSession
-    tokens = stage(tokenize(df, tokenizer, id_col=id_col, text_col=text_col, source_col=source_col), "tokens", compression="zstd")
+    queues = own_queues(df, text_col, source_col) if targets is None else sorted("-" if name is None else f"={name}" for name in targets)
+    tokens = stage(tokenize(df, tokenizer, queues, id_col=id_col, text_col=text_col, source_col=source_col), "tokens", compression="zstd")
     parts = tokens.groupBy("queue", "part").agg(F.max(F.col("start_in_part") + F.col("doc_tokens")).alias("held"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = stage(parts.withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0))), "queue-parts")
     totals = {r.queue: r.total for r in base.groupBy("queue").agg(F.sum("held").alias("total")).collect()}
     names = sorted(totals)
-    weights = [totals[q] if targets is None else int(targets.get(q[1:] if q else None, 0)) for q in names]
+    weights = [totals[q] if targets is None else 0 if q == REST else int(targets[q[1:] if q[0] == "=" else None]) for q in names]
     plan, numbers = spark.sparkContext.broadcast(Schedule([totals[q] for q in names], weights, window)), {q: i for i, q in enumerate(names)}
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schedule, at, states = plan.value, {}, {}
+        schedule, at = plan.value, {}
+        states: dict[int, tuple[list[int], list[int], list[int]]] = {}
+        most = max(2, KEPT_NUMBERS // (3 * max(1, len(numbers))))
 
-        def state(k: int) -> tuple[list[int], list[int]]:
-            """Served before this window, and where each queue's run starts in it."""
+        def state(k: int) -> tuple[list[int], list[int], list[int]]:
+            """Served before this window, where each queue's run starts in it, and served after it."""
             if k not in states:
-                if len(states) > 20_000:
-                    states.clear()
+                if len(states) >= most:
+                    del states[next(iter(states))]
                 served, then = schedule.before(k), schedule.before(k + 1)
                 runs, room = [], 0
                 for a, b in zip(served, then, strict=True):
@@ -281,27 +316,26 @@ def pack(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             rows = []
-            for i, (queue, first, count, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("queue", "first", "doc_tokens", "ids")), strict=True)):
+            for i, (queue, first, count, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("queue", "first", "doc_tokens")), batch.column("ids"), strict=True)):
                 number = numbers[queue]
-                wide = memoryview(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
-                k, token, last = at.get(queue), first, first + count
-                if k is None or state(k)[0][number] > token:
-                    k = schedule.window_of(number, token)
+                wide = memoryview(np.frombuffer(ids.as_buffer(), "<u2").astype("<u4").tobytes())
+                k, token, last = at.get(number, 0), first, first + count
                 while token < last:
                     served, runs, then = state(k)
+                    if not served[number] <= token < then[number]:
+                        k = schedule.window_of(number, token)
+                        served, runs, then = state(k)
                     stop = min(last, then[number])
-                    if stop > token:
-                        rows.append(i)
-                        for column, value in zip(out, (token - first, stop - token, zlib.crc32(wide[4 * (token - first) : 4 * (stop - first)]), count, k, runs[number] + token - served[number]), strict=True):
-                            column.append(value)
-                        token = stop
+                    rows.append(i)
+                    for column, value in zip(out, (token - first, stop - token, zlib.crc32(wide[4 * (token - first) : 4 * (stop - first)]), count, k, runs[number] + token - served[number]), strict=True):
+                        column.append(value)
+                    token = stop
                     if token < last:
                         k += 1
-                at[queue] = k
+                at[number] = k
             take = pa.array(rows, pa.int64())
-            source = pa.array([q[1:] if q else None for q in batch.column("queue").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), *(pa.array(c, pa.int64()) for c in out), source.take(take)], columns)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), *(pa.array(c, pa.int64()) for c in out), batch.column("source").take(take)], columns)
 
-    placed = tokens.join(base.select("queue", "part", "base"), ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("start_in_part")).alias("first"), "doc_tokens", "ids")
+    placed = tokens.join(base.select("queue", "part", "base"), ["queue", "part"]).select("doc_id", (F.col("base") + F.col("start_in_part")).alias("first"), "queue", "doc_tokens", "ids", "source")
     kind = df.schema[id_col].dataType.simpleString()
     return map_arrow(placed, task, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")

@@ -13,35 +13,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, map_arrow, texts
+from .shared import Known, add_columns, map_arrow, texts
 
 #: Words share this many vectors by their hash, so that the table has a fixed size.
 BUCKETS, WIDTH, NONZERO, REACH = 1 << 14, 64, 8, 2
 #: At most so many labelled documents train the network: those with the smallest hash of their id.
 SAMPLE = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 20, 256, 0.01, 1e-4
-CACHED_WORDS = 400_000
+#: Words whose contexts are summed at once.
+AT_ONCE = 200_000
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+")
 #: Markers that stand in the stream of words: upper case, a repeated word, and the gap between documents.
 CAPS, AGAIN, GAP = 0, 1, BUCKETS
 
 
-class Words(dict):
+def _numbers(word: str) -> bytes:
     """Numbers of a word, two bytes each: its bucket, after a marker if it is in upper case."""
+    found = (2 + xxhash.xxh32_intdigest(word.lower()) % (BUCKETS - 2)).to_bytes(2, sys.byteorder)
+    return CAPS.to_bytes(2, sys.byteorder) + found if len(word) > 1 and word.isupper() else found
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        number = 2 + xxhash.xxh32_intdigest(word.lower()) % (BUCKETS - 2)
-        found = number.to_bytes(2, sys.byteorder)
-        if len(word) > 1 and word.isupper():
-            found = CAPS.to_bytes(2, sys.byteorder) + found
-        self[word] = found
-        return found
 
-
-_words = Words()
+_words = Known(_numbers)
 
 
 def word_numbers(text: str) -> np.ndarray:
@@ -90,7 +83,7 @@ def context_sums(df: DataFrame, text_col: str) -> np.ndarray:
             for text in batch.column(0).to_pylist():
                 parts += [word_numbers(text), gap]
                 size += parts[-2].size
-                if size > 500_000:
+                if size > AT_ONCE:
                     add(parts)
                     parts, size = [], 0
             if parts:

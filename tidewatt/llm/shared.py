@@ -119,6 +119,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever case its names are in."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(len(taken) + 1))) if n.lower() not in taken)
+
+
 def add_columns(df: DataFrame, text_col: str, compute: Callable[[list[str]], list[pa.Array]], added: dict[str, str]) -> DataFrame:
     """``df`` with columns computed from whole texts, batch by batch; a null text counts as empty.
 
