@@ -10,7 +10,7 @@ from tidewatt.llm.lines import dedup_lines
 from tidewatt.llm.packing import pack
 from tidewatt.llm.quality import fit, score
 from tidewatt.llm.queries import GOOD, tokenizer_path
-from tidewatt.llm.shared import stage, table
+from tidewatt.llm.shared import stage, table, unused
 from tidewatt.llm.simhash import first_of_groups
 
 #: Near-duplicates: distinct shingles of five words, alike at 0.8.  The similarity sets the radius of their fingerprints.
@@ -18,28 +18,54 @@ WORDS, SIMILARITY = 5, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), score_col="__score")
-    return scored.filter(F.col("__score") >= GOOD).select(docs.columns)
+    """Documents that the classifier does not reject.
+
+    A null or empty text is scored like any other; rows that repeat an id or a
+    text have the same score for the same text; an empty table stays empty.
+    """
+    name = unused(docs, "score")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), score_col=name)
+    return scored.filter(F.col(name) >= GOOD).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document holds; their length is counted anew."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Documents without the lines that a document of smaller id holds; their length is counted anew.
+
+    Rows without an id are one document after all others; rows that repeat an
+    id are one document; a null text becomes the empty one, which has one
+    empty line; an empty table stays empty.
+    """
+    own = {c: unused(docs, f"own_{c}") for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    kept = dedup_lines(docs.withColumnsRenamed(own)).drop("n_lines", "n_dropped").withColumnsRenamed({new: c for c, new in own.items()})
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: the one of smallest id, ids missing or repeated too."""
+    """One row of each group of similar texts: the one of smallest id, null ids after all others.
+
+    Ties go to the smallest hash of the text, then to the smallest row, so
+    repeated rows leave one; texts without words are alike; an empty table
+    stays empty.
+    """
     return first_of_groups(docs, words=WORDS, similarity=SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
-    return mark_leaks(docs, table(spark, sf_dir, "benchmark"), leaks_col="__leaks").filter(F.size("__leaks") == 0).select(docs.columns)
+    """Documents that hold no passage of the benchmark.
+
+    Null and empty texts hold none; repeated rows stay or go together; an
+    empty table, of documents or items, changes nothing.
+    """
+    name = unused(docs, "leaks")
+    return mark_leaks(docs, table(spark, sf_dir, "benchmark"), leaks_col=name).filter(F.size(name) == 0).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 2048 tokens, each with its mixture of sources."""
+    """Pieces of all documents in windows of 2048 tokens, each with its mixture of sources.
+
+    A null text is an empty one, of one token; rows that repeat an id are
+    packed each for itself; a null source is a source; no rows give none.
+    """
     return pack(docs, tokenizer_path())
 
 
