@@ -4,14 +4,16 @@ from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatt.catalog import Catalog
-from tidewatt.errors import ConfigError, InvariantViolated, ReadOnlyError, ScopeError, WriteRefused
+from tidewatt.errors import ConfigError, InvariantViolated, Quarantined, ReadOnlyError, ScopeError, WriteRefused
 from tidewatt.operators.evolution import compare
 from tidewatt.operators.erasure import SubjectMap
-from tidewatt.operators.series import SeriesQuery
-from tidewatt.plans.timerange import ReadMode
+from tidewatt.operators.series import ReadingsQuery, SeriesQuery
+from tidewatt.plans.timerange import ReadMode, TimeRange
 from tidewatt.schema import Extra, TableConfig
+from tidewatt.sources.tiers import Tiers
 from tidewatt.store import Store
 from tidewatt.streaming.ingest import ingest
 
@@ -175,3 +177,165 @@ def test_command_line(spark, tmp_path, capsys):
         main(["--root", root, "--config", str(config), *command])
     out = capsys.readouterr().out
     assert "watermark" in out and "archived 0 windows" in out
+    main(["--root", root, "init", str(tmp_path / "new.toml")])
+    assert load(str(tmp_path / "new.toml"))[0] == TableConfig()
+    main(["--root", root, "erasures", f"file://{tmp_path}/people"])
+    assert "subject_ref" in capsys.readouterr().out
+
+
+def test_replays_and_contradictions_of_one_delivery(spark, store):
+    twice = store.append(frame(spark, reading(0, "1"), reading(0, "1"), reading(1, "2")))
+    assert sorted(r.effect for r in twice.collect()) == ["duplicate", "inserted", "inserted"] and store.raw().count() == 2
+    with pytest.raises(WriteRefused, match="two values"):
+        store.append(frame(spark, reading(5, "1"), reading(5, "2")))
+    longer = T0 + timedelta(hours=3)
+    with pytest.raises(WriteRefused, match="overlap"):
+        store.append(frame(spark, reading(1, "1", 20260301000007, end=longer), reading(2, "1", 20260301000007)))
+    store.append(frame(spark, reading(1, "1", 20260301000007, end=longer)))
+    with pytest.raises(WriteRefused, match="overlap"):  # with a stored interval
+        store.append(frame(spark, reading(2, "1", 20260301000007)))
+    assert store.raw().count() == 3
+
+
+def test_an_append_that_meets_an_archival_step_is_routed_anew(spark, store, monkeypatch):
+    store.append(frame(spark, *(reading(h, "1") for h in range(0, 96, 6))))
+    write, done = store.tiers.write, []
+
+    def between(df, tier):
+        if not done and tier == "cold":
+            done.append(True)
+            assert store.archive_step(NOW)
+        return write(df, tier)
+
+    monkeypatch.setattr(store.tiers, "write", between)
+    store.append(frame(spark, reading(0, "5", 20260301000002), reading(90, "5", 20260301000002)))
+    assert [s.operation for s in store.tiers.snapshots()] == ["create", "append", "archive", "append"]
+    last = store.tiers.latest()
+    assert last.cold.rows == 1 and last.hot.rows == 1 and store.raw().count() == 18
+    store.verify_invariant()
+    assert store.reclaim(NOW + timedelta(days=400)) == 1 and store.raw().count() == 18
+    assert not [f for f in store.tiers.files.names("cold") if f not in {s.cold.folder.split("/")[1] for s in store.tiers.snapshots() if s.cold}]
+
+
+def scanned(df):
+    """Roots and filters of the files that a plan reads."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_writes_and_reads_touch_only_their_windows(spark, store, monkeypatch):
+    store.append(frame(spark, *(reading(h, "1") for h in range(0, 24 * 20, 8))))
+    for _ in range(3):
+        store.archive_step(NOW)
+    asked = []
+    read = Tiers.read
+    monkeypatch.setattr(Tiers, "read", lambda self, session, parts, tier, range_: asked.append((tier, range_)) or read(self, session, parts, tier, range_))
+    store.append(frame(spark, reading(400, "2", 20260301000002)))
+    window = store.tiers.window(T0 + timedelta(hours=400))
+    assert asked == [("hot", TimeRange(window, window + timedelta(days=1)))]
+    at = T0 + timedelta(hours=400)
+    plan = scanned(store.sql(f"SELECT sum(value) FROM readings WHERE `from` = TIMESTAMP '{at:%Y-%m-%d %H:%M:%S}'").df)
+    assert "PartitionFilters: [isnotnull(window_start" in plan and f"{window:%Y%m%d%H%M}" in plan and "/cold" not in plan
+    cold = store.sql(f"SELECT value FROM readings WHERE `from` < TIMESTAMP '{T0 + timedelta(hours=9):%Y-%m-%d %H:%M:%S}'")
+    assert cold.tiers == ("cold",) and "ReadSchema: struct<" in scanned(cold.df) and "provenance" not in scanned(cold.df).split("ReadSchema")[1]
+
+
+def test_catalog_reads_each_table_over_its_own_range(spark, store, tmp_path):
+    other = Store(spark, TableConfig("second"), f"file://{tmp_path}")
+    rows = frame(spark, *(reading(h, "1") for h in range(0, 96, 6)))
+    store.append(rows), other.append(rows.drop("tenant"))
+    store.catch_up(NOW), other.catch_up(NOW)
+    at = T0 + timedelta(hours=12)
+    catalog = Catalog((store, other))
+    found = catalog.sql(f"SELECT count(*) AS n FROM readings r JOIN second s ON r.`from` = s.`from` WHERE s.`from` <= TIMESTAMP '{at:%Y-%m-%d %H:%M:%S}'")
+    assert found.df.first().n == 3 and found.tiers == ("cold",) and not found.resolved
+    assert catalog.describe("SELECT malo_id FROM second").schema.names == ["malo_id"]
+    told, rows = catalog.stream("SELECT count(*) AS n FROM second")
+    assert told.tiers and next(rows).n == 16
+    report = catalog.sql(f"SELECT * FROM meter_completeness('second', TIMESTAMP '{T0:%Y-%m-%d %H:%M:%S}', TIMESTAMP '{T0 + timedelta(hours=24):%Y-%m-%d %H:%M:%S}')").df.first()
+    assert (report.expected, report.actual, report.missing) == (24, 4, 20)
+    with pytest.raises(ConfigError):
+        catalog.sql("SELECT * FROM meter_completeness(DATE '2026-03-02', DATE '2026-03-03')")
+    assert catalog.verify() == {"readings": "holds", "second": "holds"} and set(catalog.create()) == {"readings", "second"}
+
+
+def test_the_report_in_sql(spark, store):
+    store.append(frame(spark, *(reading(h, "1") for h in range(30) if h != 4), *(reading(h, "1", malo=OTHER) for h in range(3))))
+    both = store.sql("SELECT malo_id, expected, actual, missing FROM meter_completeness(DATE '2026-03-02', DATE '2026-03-03')").df.collect()
+    assert [tuple(r) for r in both] == [(OTHER, 24, 3, 21), (MALO, 24, 23, 1)]
+    silent = store.sql("SELECT count(*) AS n FROM meter_completeness('readings', DATE '2026-03-02', DATE '2026-03-03', DATE '2026-03-04') WHERE actual = 0").df.first()
+    assert silent.n == 1
+    assert store.completeness(T0, T0 + timedelta(days=1), malo_id=OTHER).count() == 1
+    for bad in ("meter_completeness(DATE '2026-03-02')", "meter_completeness('other', DATE '2026-03-02', DATE '2026-03-03')"):
+        with pytest.raises((ConfigError, ScopeError)):
+            store.sql(f"SELECT * FROM {bad}")
+
+
+def test_typed_reads(spark, tmp_path):
+    store = Store(spark, TableConfig("meters", point=True), f"file://{tmp_path}")
+    at = lambda h, value, day=0, **other: reading(h, value, end=None, recorded_at=NOW + timedelta(days=day), resolution=None, **other)
+    rows = frame(spark, at(0, "10"), at(24, "12"), at(48, "15", day=1), at(0, "7", obis_code="1-0:2.8.0"), at(0, "3", obis_code="1-0:10.8.0"))
+    store.append(rows.drop("tenant").withColumn("melo_id", F.lit("DE0001234567890123456789012345678")).withColumn("provenance", F.date_format("recorded_at", "dd")))
+    query = ReadingsQuery(store, MALO)
+    found = query.obis("1-0:1.8.0").collect()
+    assert [v for _, v in found.values] == [10, 12, 15] and found.melo_id.startswith("DE") and [s.provenance for s in found.sources] == ["01", "02"]
+    assert [len(r) for r in query.obis("1-0:1.8.0").deliveries().values()] == [2, 1] and found.source.provenance == "02"
+    assert list(query.collect_by_channel()) == query.channels() == ["1-0:1.8.0", "1-0:2.8.0", "1-0:10.8.0"]
+    assert query.obis("1-0:1.8.0").latest().value == 15
+    with pytest.raises(InvariantViolated):
+        query.collect()
+    with pytest.raises(ConfigError):
+        SeriesQuery(store, MALO)
+
+
+def test_checked_columns_and_stored_schema(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    store = Store(spark, TableConfig("zones", extras=(Extra("zone", check="EIC"), Extra("point", check="MALO"))), root)
+    rows = frame(spark, reading(0, "1")).drop("tenant")
+    store.append(rows.withColumns({"zone": F.lit("10YDE-EON------1"), "point": F.lit(MALO)}))
+    for column, value in (("zone", "10YDE-EON------2"), ("point", "41373559240")):
+        with pytest.raises(Exception, match="identifier"):
+            store.append(rows.withColumns({"zone": F.lit(None).cast("string"), "point": F.lit(None).cast("string")} | {column: F.lit(value)}))
+    wider = Store(spark, TableConfig("zones", extras=(Extra("zone", check="EIC"), Extra("point", check="MALO"), Extra("note"))), root)
+    assert [(c.column, c.what) for c in wider.check_schema()] == [("note", "added")] and wider.raw().first().note is None
+    assert wider.sql("SELECT count(*) AS n FROM system_columns WHERE column_name = 'note'").df.first().n == 2
+    with pytest.raises(Quarantined):
+        Store(spark, TableConfig("zones", extras=(Extra("must", nullable=False),)), root).raw()
+    with pytest.raises(ConfigError):
+        TableConfig(extras=(Extra("x", check="IBAN"),))
+
+
+def test_references_must_resolve(spark, tmp_path):
+    people = SubjectMap(spark, f"file://{tmp_path}/people", b"key")
+    ref = people.register("Ada", 2026, NOW)
+    store = Store(spark, TableConfig("held", extras=(Extra("who"),), subject_column="who"), f"file://{tmp_path}", subjects=people)
+    rows = frame(spark, reading(0, "1")).drop("tenant")
+    store.append(rows.withColumn("who", F.lit(ref)))
+    with pytest.raises(WriteRefused):
+        store.append(rows.withColumns({"who": F.lit("nobody"), "version": F.col("version") + 1}))
+    assert people.references("Ada") == [ref] and people.resolve(store.resolved(), "who").first().identity == "Ada"
+    people.erase_all(["Ada"], NOW)
+    assert people.orphaned(store.resolved(), "who").first().who == ref
+
+
+def test_bounds_and_retries():
+    from datetime import date
+
+    from tidewatt.errors import BoundaryMoved, is_retryable
+    from tidewatt.functions.library import day_bounds, month_bounds, retention_cutoff
+
+    hours = lambda bounds: (bounds[1] - bounds[0]).total_seconds() / 3600
+    assert [hours(day_bounds(date(2026, m, d))) for m, d in ((3, 29), (7, 1), (10, 25))] == [23, 24, 25]
+    assert day_bounds(date(2026, 1, 15), "GAS")[0] == datetime(2026, 1, 15, 5, tzinfo=timezone.utc) and hours(month_bounds(date(2026, 3, 7))) == 31 * 24 - 1
+    assert retention_cutoff(datetime(2026, 1, 1, 2, tzinfo=timezone.utc), 3, "GAS") == 2022
+    assert is_retryable(BoundaryMoved()) and not is_retryable(ConfigError()) and not is_retryable(ValueError())
+
+
+def test_expired_snapshots_cannot_be_asked_for(spark, tmp_path):
+    store = Store(spark, TableConfig("short", keep_snapshots=2, snapshot_retention=timedelta(days=1)), f"file://{tmp_path}")
+    for h in range(4):
+        store.append(frame(spark, reading(h, "1")).drop("tenant"))
+    late = datetime.now(timezone.utc) + timedelta(days=2)
+    assert [s.id for s in store.tiers.kept(late)] == [3, 4] and len(store.tiers.kept(datetime.now(timezone.utc))) == 5
+    with pytest.raises(ConfigError):
+        store.as_of(1, now=late)
+    assert store.as_of(3, now=late).snapshot.id == 3

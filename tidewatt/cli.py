@@ -25,6 +25,14 @@ def load(path: str) -> list[TableConfig]:
     return out
 
 
+def initialise(path: str) -> None:
+    """Write a settings file with one table; refuses to overwrite."""
+    config = TableConfig()
+    lines = ["[[table]]", f'name = "{config.name}"', "point = false", *(f"{k} = {int(getattr(config, k).total_seconds())}" for k in DURATIONS), f"keep_snapshots = {config.keep_snapshots}", ""]
+    with open(path, "x") as file:
+        file.write("\n".join(lines))
+
+
 def instant(text: str) -> datetime:
     at = datetime.fromisoformat(text)
     return at if at.tzinfo else at.replace(tzinfo=timezone.utc)
@@ -35,8 +43,15 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--root", required=True)
     parser.add_argument("--config", help="TOML file with [[table]] entries")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("create", "status", "snapshots", "maintain", "reassert-watermark", "check"):
+    for name in ("create", "status", "snapshots", "archive", "maintain", "reassert-watermark", "check"):
         commands.add_parser(name)
+    commands.add_parser("init").add_argument("file", help="a new TOML file with one table and its defaults")
+    trail = commands.add_parser("erasures")
+    trail.add_argument("map", help="folder of the subject map")
+    trail.add_argument("--since", type=instant)
+    trail.add_argument("--until", type=instant)
+    trail.add_argument("--trigger")
+    trail.add_argument("--limit", type=int, default=100)
     for name in ("query", "explain"):
         commands.add_parser(name).add_argument("sql")
     report = commands.add_parser("completeness")
@@ -49,14 +64,22 @@ def main(argv: list[str] | None = None) -> None:
     purge.add_argument("--confirm", required=True)
     args = parser.parse_args(argv)
 
+    if args.command == "init":
+        initialise(args.file)
+        return
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if args.command == "erasures":
+        from .operators.erasure import SubjectMap
+
+        SubjectMap(spark, args.map, b"").history(args.since, args.until, args.trigger, args.limit).show(args.limit, truncate=False)
+        return
     catalog = Catalog(tuple(Store(spark, c, args.root) for c in (load(args.config) if args.config else [TableConfig()])))
     if args.command == "query":
         catalog.sql(args.sql).df.show(100, truncate=False)
     elif args.command == "explain":
         catalog.sql(args.sql).df.explain("formatted")
-    elif args.command == "maintain":
-        for name, line in catalog.maintain(datetime.now(timezone.utc)).items():
+    elif args.command in ("maintain", "archive"):
+        for name, line in getattr(catalog, args.command)(datetime.now(timezone.utc)).items():
             print(name, line)
     for store in catalog.stores:
         if args.command in ("create", "check"):

@@ -47,3 +47,8 @@ class LockTimeout(TidewattError):
     """Another writer holds a table."""
 
     retryable = True
+
+
+def is_retryable(error: BaseException) -> bool:
+    """Whether the same call may pass on another try."""
+    return isinstance(error, TidewattError) and error.retryable

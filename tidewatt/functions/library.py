@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, datetime, time, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -148,3 +150,36 @@ def register(spark: SparkSession) -> None:
 def call(name: str, *arguments: str) -> Column:
     """A function on SQL arguments, as a column."""
     return F.expr(FUNCTIONS[name].sql(*arguments)).alias(name)
+
+
+#: Flags from best to worst: the source gives no order, so measured values come first and values that cannot be used last.
+WORSE = ("MEASURED", "SUBSTITUTED", "CALCULATED", "CORRECTED", "ESTIMATED", "PRELIMINARY", "UNKNOWN", "FAULTY")
+
+
+def worst_quality(flag: str = "quality") -> Column:
+    """An aggregate: the worst flag of a group; null flags do not count."""
+    rank = F.array_position(F.array(*map(F.lit, WORSE)), F.col(flag))
+    return F.max_by(F.col(flag), F.when(rank > 0, rank))
+
+
+# Bounds of days and months --------------------------------------------------
+
+
+def day_bounds(day: date, sparte: str = "STROM") -> tuple[datetime, datetime]:
+    """A balancing day as instants, the second not included: 23 to 25 hours."""
+    if sparte not in SPARTEN:
+        raise ValueError(f"unknown sparte: {sparte}")
+    at = lambda d: datetime.combine(d, time(GAS_HOUR if sparte == "GAS" else 0), ZoneInfo(ZONE)).astimezone(timezone.utc)
+    return at(day), at(day + timedelta(days=1))
+
+
+def month_bounds(day: date, sparte: str = "STROM") -> tuple[datetime, datetime]:
+    """The balancing month that holds a day."""
+    first = day.replace(day=1)
+    return day_bounds(first, sparte)[0], day_bounds((first + timedelta(days=32)).replace(day=1), sparte)[0]
+
+
+def retention_cutoff(now: datetime, years: int, sparte: str = "STROM") -> int:
+    """The first epoch, a year of balancing days, that is still kept after ``years`` whole years."""
+    local = now.astimezone(ZoneInfo(ZONE)) - timedelta(hours=GAS_HOUR if sparte == "GAS" else 0)
+    return local.year - years

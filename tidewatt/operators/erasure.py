@@ -72,6 +72,22 @@ class SubjectMap:
     def lookup(self, identity: str) -> DataFrame:
         return self.subjects.filter(F.col("identity") == identity)
 
+    def references(self, identity: str) -> list[str]:
+        """A person's references, oldest epoch first."""
+        return [r.subject_ref for r in self.lookup(identity).orderBy("epoch", "subject_ref").select("subject_ref").collect()]
+
+    def epochs(self) -> DataFrame:
+        """How many references each epoch holds."""
+        return self.subjects.groupBy("epoch").agg(F.count("*").alias("references")).orderBy("epoch")
+
+    def resolve(self, df: DataFrame, column: str) -> DataFrame:
+        """``df`` with the identities behind its references; null where nobody is."""
+        return df.join(self.subjects.select(F.col("subject_ref").alias(column), "identity"), column, "left")
+
+    def orphaned(self, df: DataFrame, column: str) -> DataFrame:
+        """References in ``df`` that resolve to nobody."""
+        return df.filter(F.col(f"`{column}`").isNotNull()).select(f"`{column}`").distinct().join(self.subjects.select(F.col("subject_ref").alias(column)), column, "left_anti")
+
     def suppressed(self, identity: str) -> bool:
         return self.trail.filter((F.col("digest") == self.digest(identity)) & (F.col("trigger") == "request")).limit(1).count() > 0
 
@@ -88,6 +104,9 @@ class SubjectMap:
         """Forget a person: their references stay in readings and resolve to nobody."""
         return self._forget(self.lookup(identity), "request", at, F.lit(self.digest(identity)))
 
+    def erase_all(self, identities: list[str], at: datetime) -> int:
+        return sum(self.erase(identity, at) for identity in identities)
+
     def sweep(self, cutoff: int, at: datetime) -> int:
         """Forget all registrations of epochs before the cutoff."""
         return self._forget(self.subjects.filter(F.col("epoch") < cutoff), "retention", at, F.lit(None).cast("string"))
@@ -106,5 +125,5 @@ class SubjectMap:
 
     def require_resolvable(self, df: DataFrame, column: str) -> None:
         """Refuse rows whose reference names nobody."""
-        if df.filter(F.col(f"`{column}`").isNotNull()).join(self.subjects.select(F.col("subject_ref").alias(column)), column, "left_anti").limit(1).count():
+        if self.orphaned(df, column).limit(1).count():
             raise WriteRefused(f"{column} holds references that resolve to nobody")

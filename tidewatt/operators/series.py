@@ -6,11 +6,11 @@ from dataclasses import dataclass, replace
 from datetime import datetime
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..errors import InvariantViolated
-from ..plans.timerange import TimeRange
+from ..errors import ConfigError, InvariantViolated
+from ..plans.timerange import ReadMode, TimeRange
 from ..store import Store
 
 
@@ -22,9 +22,23 @@ class Reading:
     quality: str
 
 
+@dataclass(frozen=True)
+class Source:
+    """Where a delivery came from."""
+
+    kind: str
+    detail: str | None
+    provenance: str | None
+    recorded_at: datetime
+
+
 @dataclass(frozen=True)
 class Series:
-    """One channel of one point: intervals, or instants of a register if ``end`` is missing."""
+    """One channel of one point: intervals, or instants of a register if ``end`` is missing.
+
+    Meter, resolution, source and declared columns are those of the delivery
+    that was recorded last; ``sources`` are all, in the order of recording.
+    """
 
     malo_id: str
     melo_id: str | None
@@ -33,6 +47,20 @@ class Series:
     unit: str
     resolution: str | None
     readings: tuple[Reading, ...]
+    sources: tuple[Source, ...]
+    extras: tuple[tuple[str, str | None], ...]
+
+    @property
+    def source(self) -> Source:
+        return self.sources[-1]
+
+    @property
+    def intervals(self) -> tuple[tuple[datetime, datetime | None], ...]:
+        return tuple((r.start, r.end) for r in self.readings)
+
+    @property
+    def values(self) -> tuple[tuple[datetime, Decimal], ...]:
+        return tuple((r.start, r.value) for r in self.readings)
 
 
 def channel_order(column: str = "obis_code") -> list:
@@ -42,7 +70,11 @@ def channel_order(column: str = "obis_code") -> list:
 
 @dataclass(frozen=True)
 class SeriesQuery:
-    """A read of one market location, narrowed step by step."""
+    """A read of one market location, narrowed step by step.
+
+    A typed read ends in the caller's memory, so it fetches its rows once and
+    checks them there.
+    """
 
     store: Store
     malo_id: str
@@ -50,6 +82,12 @@ class SeriesQuery:
     equal: tuple[tuple[str, str], ...] = ()
     qualities: tuple[str, ...] = ()
 
+    point = False
+
+    def __post_init__(self) -> None:
+        if self.store.config.point != self.point:
+            raise ConfigError(f"{self.store.config.name} holds {'readings at an instant' if self.store.config.point else 'intervals'}")
+
     def obis(self, code: str) -> SeriesQuery:
         return replace(self, equal=(*self.equal, ("obis_code", code)))
 
@@ -71,41 +109,76 @@ class SeriesQuery:
     def until(self, end: datetime) -> SeriesQuery:
         return self.range(None, end)
 
-    def rows(self) -> DataFrame:
-        """The readings in force, in key order."""
-        rows = self.store.resolved(self.within).filter(F.col("malo_id") == self.malo_id)
+    def _selected(self, store: Store) -> DataFrame:
+        rows = store.resolved(self.within).filter(F.col("malo_id") == self.malo_id)
         for column, value in self.equal:
             rows = rows.filter(F.col(f"`{column}`") == value)
-        if self.qualities:
-            rows = rows.filter(F.col("quality").isin(*self.qualities))
-        return rows.orderBy(*(f"`{k}`" for k in self.store.config.key if k != "from"), "from")
+        return rows.filter(F.col("quality").isin(*self.qualities)) if self.qualities else rows
+
+    def rows(self) -> DataFrame:
+        """The readings in force, in key order."""
+        return self._selected(self.store).orderBy(*(f"`{k}`" for k in self.store.config.key if k != "from"), "from")
 
     def channels(self) -> list[str]:
-        rows = self.rows().select("obis_code").distinct()
+        rows = self._selected(self.store).select("obis_code").distinct()
         return [r.obis_code for r in rows.orderBy(*channel_order()).collect()]
 
-    def refuse_mixed(self) -> None:
-        """Two channels, identities, scopes at one instant or commodities are not one series."""
-        names = [k for k in self.store.config.key if k != "from"]
-        rows = self.rows()
-        if rows.select(*names, "sparte", "unit").distinct().limit(2).count() > 1:
+    def _merged(self, rows: list[Row]) -> Series | None:
+        """One series of rows in key order; two channels, identities, commodities or values at an instant are none."""
+        if not rows:
+            return None
+        names = [*(k for k in self.store.config.key if k != "from"), "sparte", "unit"]
+        if len({tuple(r[n] for n in names) for r in rows}) > 1:
             raise InvariantViolated("readings of several channels are not one series")
-        again = F.lead("from").over(Window.partitionBy(*names).orderBy("from")) == F.col("from")
-        if rows.withColumn("again", again).filter("again").limit(1).count():
+        if any(a["from"] == b["from"] for a, b in zip(rows, rows[1:], strict=False)):
             raise InvariantViolated("two values are in force at one instant")
+        if any((r.to is None) != self.point for r in rows):
+            raise InvariantViolated("intervals and readings at an instant are not one series")
+        recorded = sorted(rows, key=lambda r: (r.recorded_at, r["from"]))
+        last = recorded[-1]
+        sources = dict.fromkeys(Source(r.source_kind, r.source_detail, r.provenance, r.recorded_at) for r in recorded)
+        extras = tuple((e.name, last[e.name]) for e in self.store.config.extras)
+        return Series(self.malo_id, last.melo_id, last.obis_code, last.sparte, last.unit, last.resolution, tuple(Reading(r["from"], r.to, r.value, r.quality) for r in rows), tuple(sources), extras)
 
     def collect(self) -> Series | None:
         """The one series that the read selects; None if it selects nothing."""
-        self.refuse_mixed()
-        rows = self.rows().collect()
-        if not rows:
-            return None
-        last = max(rows, key=lambda r: (r.recorded_at, r["from"]))
-        return Series(self.malo_id, last.melo_id, last.obis_code, last.sparte, last.unit, last.resolution, tuple(Reading(r["from"], r.to, r.value, r.quality) for r in rows))
+        return self._merged(self.rows().collect())
+
+    def collect_with_sparte(self) -> tuple[Series, str] | None:
+        found = self.collect()
+        return (found, found.sparte) if found else None
 
     def collect_by_channel(self) -> dict[str, Series]:
-        return {code: self.obis(code).collect() for code in self.channels()}
+        """A series for each channel, from one read, in the order of their numbers."""
+        rows: dict[str, list[Row]] = {}
+        for row in self.rows().collect():
+            rows.setdefault(row.obis_code, []).append(row)
+        number = lambda code: [int(x) for x in code.replace("*", ".").replace("-", ".").replace(":", ".").split(".")]
+        return {code: self._merged(rows[code]) for code in sorted(rows, key=number)}
 
     def latest(self) -> Reading | None:
-        rows = self.rows().orderBy(F.desc("from")).limit(1).collect()
-        return Reading(rows[0]["from"], rows[0].to, rows[0].value, rows[0].quality) if rows else None
+        """The newest reading, from the recent tier if that has one."""
+        stores = (self.store.in_read_mode(ReadMode.OPERATIONAL), self.store) if self.store.mode is ReadMode.UNIFIED else (self.store,)
+        for store in stores:
+            rows = self._selected(store).orderBy(F.desc("from")).limit(1).collect()
+            if rows:
+                return Reading(rows[0]["from"], rows[0].to, rows[0].value, rows[0].quality)
+        return None
+
+
+@dataclass(frozen=True)
+class ReadingsQuery(SeriesQuery):
+    """The same over a table of register readings."""
+
+    point = True
+
+    def values(self) -> tuple[tuple[datetime, Decimal], ...]:
+        found = self.collect()
+        return found.values if found else ()
+
+    def deliveries(self) -> dict[Source, tuple[Reading, ...]]:
+        """The readings by the delivery that they came with, in the order of recording."""
+        out: dict[Source, list[Reading]] = {}
+        for r in sorted(self.rows().collect(), key=lambda r: (r.recorded_at, r["from"])):
+            out.setdefault(Source(r.source_kind, r.source_detail, r.provenance, r.recorded_at), []).append(Reading(r["from"], r.to, r.value, r.quality))
+        return {source: tuple(readings) for source, readings in out.items()}

@@ -37,8 +37,11 @@ def encode(df: DataFrame, config: TableConfig) -> DataFrame:
     """Rows as they are stored: checked, with the balancing day, in the table's columns and order.
 
     A row that breaks a rule fails the job that reads it, with the rule's name;
-    nothing is rounded, filtered or corrected.
+    nothing is rounded, filtered or corrected.  Rows without a version column
+    have the version of their arrival.
     """
+    if "version" not in df.columns:
+        df = df.withColumn("version", arrival_version())
     units = " OR ".join(f"(sparte = '{s}' AND unit IN ({', '.join(repr(u) for u in us)}))" for s, us in UNITS.items())
     grids = [*RESOLUTIONS, "P1D", "P1M", "P1Y"]
     day = call("meter_balancing_day", "`from`", "sparte")
@@ -54,6 +57,7 @@ def encode(df: DataFrame, config: TableConfig) -> DataFrame:
         "an interval must end after it starts": "`to` IS NOT NULL" if config.point else "`to` IS NULL OR `to` <= `from`",
         "the version scope does not cover the balancing month": f"NOT (version_scope RLIKE '^[0-9]{{13}}:[0-9]{{4}}-[0-9]{{2}}$' AND substr(version_scope, 15) = date_format({FUNCTIONS['meter_balancing_day'].sql('`from`', 'sparte')}, 'yyyy-MM'))",
     } | {f"{e.name} is not in its code list": f"`{e.name}` NOT IN ({', '.join(repr(c) for c in e.codes)})" for e in config.extras if e.codes}
+    rules |= {f"{e.name} is no {e.check} identifier": f"NOT coalesce({CHECKS[e.check](f'`{e.name}`')}, `{e.name}` IS NULL)" for e in config.extras if e.check}
     broken = "coalesce(" + ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in rules.items()) + ")"
     missing = {f.name: F.lit(None).cast(f.dataType) for f in config.schema if f.nullable and f.name not in df.columns}
     rows = df.withColumns(missing | {"balancing_day": day, "__broken": F.lit(None).cast("string")}).withColumn("__broken", F.expr(broken))
@@ -71,16 +75,19 @@ def displacements(existing: DataFrame, incoming: DataFrame, config: TableConfig)
     ``inserted`` is the first value of a reading, ``superseded`` replaces the
     one in force, ``shadowed`` is stored below a higher version, ``duplicate``
     is there at this version already.  A superseding row names the prior value.
-    Only stored versions of incoming readings are read on.
+    Only stored versions of incoming readings are read on, and both windows
+    share one shuffle.
     """
     key = _identity(config)
     names = [*key, "version", "value", "quality", "recorded_at"]
     stored = existing.select(*(f"`{c}`" for c in names)).join(incoming.select(*(f"`{c}`" for c in key)).distinct(), key, "left_semi").withColumn("new", F.lit(False))
     both = stored.unionByName(incoming.select(*(f"`{c}`" for c in names)).withColumn("new", F.lit(True)))
-    arrival = Window.partitionBy(*(f"`{k}`" for k in key)).orderBy("new", F.when(F.col("new"), F.col("version")), "version")
-    prior = F.max(F.struct("version", "recorded_at", "value", "quality")).over(arrival.rowsBetween(Window.unboundedPreceding, -1))
-    same = F.row_number().over(Window.partitionBy(*(f"`{k}`" for k in key), "version").orderBy("new", "recorded_at")) > 1
-    rows = both.withColumns({"prior": prior, "again": same}).filter("new")
+    arrival = Window.partitionBy(*(f"`{k}`" for k in key)).orderBy("new", "version", "recorded_at")
+    earlier = arrival.rowsBetween(Window.unboundedPreceding, -1)
+    prior = F.max(F.struct("version", "recorded_at", "value", "quality")).over(earlier)
+    stored_ones = F.collect_set(F.when(~F.col("new"), F.col("version"))).over(earlier)
+    again = (F.lag("version").over(arrival).eqNullSafe(F.col("version")) & F.lag("new").over(arrival)) | F.array_contains(stored_ones, F.col("version"))
+    rows = both.withColumns({"prior": prior, "again": F.coalesce(again, F.lit(False))}).filter("new")
     effect = F.when(F.col("again"), "duplicate").when(F.col("prior").isNull(), "inserted").when(F.col("version") > F.col("prior.version"), "superseded").otherwise("shadowed")
     rows = rows.withColumn("effect", effect)
     replaced = F.col("effect") == "superseded"
@@ -102,18 +109,28 @@ def restated(existing: DataFrame, incoming: DataFrame, config: TableConfig) -> D
     return incoming.join(stored, key).filter("NOT (value <=> stored_value AND quality <=> stored_quality)")
 
 
+def contradictory(incoming: DataFrame, config: TableConfig) -> DataFrame:
+    """Readings to which one delivery gives a version twice, with different values or qualities."""
+    said = F.struct("value", "quality")
+    return incoming.groupBy(*(f"`{k}`" for k in _identity(config)), "version").agg(F.min(said).alias("one"), F.max(said).alias("other")).filter("one <> other")
+
+
 def second_operators(existing: DataFrame, incoming: DataFrame, config: TableConfig) -> DataFrame:
-    """Readings that rows of two network operators would claim."""
+    """Incoming readings that rows of two network operators would claim."""
     operator = F.split("version_scope", ":")[0].alias("operator")
     key = [F.col(f"`{k}`") for k in config.key]
-    rows = existing.select(*key, operator).unionByName(incoming.select(*key, operator))
+    stored = existing.select(*key, operator).join(incoming.select(*key).distinct(), list(config.key), "left_semi")
+    rows = stored.unionByName(incoming.select(*key, operator))
     return rows.groupBy(*key).agg(F.min("operator").alias("one"), F.max("operator").alias("other")).filter("one <> other")
 
 
-def overlaps(df: DataFrame, config: TableConfig) -> DataFrame:
-    """Intervals of one channel and version that run into the next."""
+def overlaps(df: DataFrame, config: TableConfig, stored: DataFrame | None = None) -> DataFrame:
+    """Intervals of one channel and version that run into the next, stored ones of the same channels too."""
     key = [k for k in _identity(config) if k != "from"]
-    following = F.lead("from").over(Window.partitionBy(*(f"`{k}`" for k in key), "version").orderBy("from"))
+    if stored is not None:
+        channel = [*key, "version"]
+        df = df.unionByName(stored.join(df.select(*(f"`{k}`" for k in channel)).distinct(), channel, "left_semi").select(*(f"`{c}`" for c in df.columns)))
+    following = F.lead("from").over(Window.partitionBy(*(f"`{k}`" for k in key), "version").orderBy("from", "to"))
     return df.withColumn("next_from", following).filter(F.col("next_from") < F.col("to"))
 
 

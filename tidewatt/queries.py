@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalog import Catalog
+from .checkpoints import checkpoint_folder
 from .functions import call
+from .functions.library import worst_quality
 from .operators import writes
 from .operators.completeness import completeness, daily, expectations
 from .plans.resolve import resolve
-from .plans.timerange import TimeRange, split
+from .plans.timerange import ReadMode, TimeRange, split
 from .schema import TableConfig
 from .sources.adapter import SQL as READINGS_SQL
 from .sources.adapter import WATERMARK, readings
+from .store import Store
 
 CONFIG = TableConfig()
 TOTAL = "CAST(sum(value) AS DECIMAL(28,6)) AS total"
@@ -189,9 +194,16 @@ def obis_tariff(spark, folder):
     return resolved(spark, folder).groupBy(call("obis_tariff_register", "obis_code").cast("int").alias("tariff")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT code || '*255' AS code, code AS normal, count(*) AS n FROM {_CODES} GROUP BY 1, 2")
+_SPELT = "CASE pmod(hour, 4) WHEN 0 THEN concat(code, '*255') WHEN 1 THEN concat('  0', replace(replace(code, ':', ':0'), '.', '.00'), ' ') WHEN 2 THEN concat(code, '*007') ELSE concat(' ', replace(code, '-', '-00'), '*255  ') END"
+
+
+@query(
+    f"SELECT {_SPELT.replace('pmod(hour, 4)', 'hour % 4')} AS code, CASE hour % 4 WHEN 2 THEN code || '*7' ELSE code END AS normal, count(*) AS n FROM (SELECT obis_code AS code, CAST(version % 4 AS INT) AS hour FROM resolved) GROUP BY 1, 2"
+)
 def obis_normalise(spark, folder):
-    return resolved(spark, folder).select(F.concat("obis_code", F.lit("*255")).alias("code")).groupBy("code", call("obis_normalise", "code").alias("normal")).agg(F.count("*").alias("n"))
+    """Codes with blanks, leading zeros, and a storage number that is the default or another."""
+    codes = resolved(spark, folder).select(F.col("obis_code").alias("code"), (F.col("version") % 4).cast("int").alias("hour")).select(F.expr(_SPELT).alias("code"))
+    return codes.groupBy("code", call("obis_normalise", "code").alias("normal")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT quality IN ('MEASURED', 'SUBSTITUTED') AS billable, count(*) AS n, {TOTAL} FROM resolved GROUP BY 1")
@@ -209,13 +221,20 @@ def quality_provisional(spark, folder):
     return resolved(spark, folder).groupBy(call("quality_is_provisional", "quality").alias("provisional")).agg(F.count("*").alias("n"))
 
 
-_EICS = ["11YN000000000016", "11YV00000000001D", "11XBK0000000001A", "10X168Y4E6H0041Z", " 11xbk0000000001a ", "11YN000000000017", "11QBK0000000001Y"]
-_NATION_EIC = f"(SELECT n_nationkey, trim(upper([{', '.join(repr(e) for e in _EICS)}][n_nationkey % 7 + 1])) AS code FROM nation)"
-_GOOD = "code <> '11YN000000000017'"
+@query("SELECT malo_id, obis_code, ['MEASURED', 'SUBSTITUTED', 'CALCULATED', 'CORRECTED', 'ESTIMATED', 'PRELIMINARY', 'UNKNOWN', 'FAULTY'][max(list_position(['MEASURED', 'SUBSTITUTED', 'CALCULATED', 'CORRECTED', 'ESTIMATED', 'PRELIMINARY', 'UNKNOWN', 'FAULTY'], quality))] AS worst FROM resolved GROUP BY 1, 2")
+def quality_worst(spark, folder):
+    return resolved(spark, folder).groupBy("malo_id", "obis_code").agg(worst_quality().alias("worst"))
+
+
+_EICS = ["11YN000000000016", "11YV00000000001D", "11XBK0000000001A", "10X168Y4E6H0041Z", " 11xbk0000000001a ", "11YN000000000017", "11QBK0000000001Y", "10YDE-EON------1", "10ydE-VE-------2", "10YFR-RTE------C", "11YR00000000001N", "11YW000000000018", "0011YN0000000000", ""]
+_NATION_EIC = f"(SELECT n_nationkey, trim(upper([{', '.join(repr(e) for e in _EICS)}][n_nationkey % {len(_EICS)} + 1])) AS code FROM nation)"
+# The check character: weights 16 down to 2, modulo 37.
+_SYMBOLS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ-"
+_GOOD = f"(regexp_full_match(code, '[0-9][0-9][A-Z][0-9A-Z-]{{12}}[0-9A-Z]') AND substr(code, 16, 1) = substr('{_SYMBOLS}', CAST(37 - ((list_sum([(17 - i) * (strpos('{_SYMBOLS}', substr(code, i, 1)) - 1) FOR i IN range(1, 16)]) - 1) % 37 + 37) % 37 AS BIGINT), 1))"
 
 
 def _eic(spark: SparkSession, folder: str, name: str, alias: str) -> DataFrame:
-    code = f"element_at(array({', '.join(repr(e) for e in _EICS)}), CAST(n_nationkey % 7 + 1 AS INT))"
+    code = f"element_at(array({', '.join(repr(e) for e in _EICS)}), CAST(n_nationkey % {len(_EICS)} + 1 AS INT))"
     return spark.read.parquet(f"{folder}/nation.parquet").select("n_nationkey", F.expr(code).alias("code")).select("n_nationkey", call(name, "code").alias(alias))
 
 
@@ -280,13 +299,54 @@ def completeness_expectation(spark, folder):
     return expectations(grids, _LOW, _HIGH)
 
 
-@query()
+# Quarter-hours that rows cover, counted one by one.
+_MIXED = """, h AS (
+  SELECT malo_id, obis_code, sparte, quality, "from" + to_hours(k) AS f, 'PT1H' AS grid, 60 AS m FROM resolved, (SELECT unnest(range(24)) AS k)
+  WHERE obis_code = '1-0:1.8.0' AND NOT ("from" = TIMESTAMP '2024-01-10' AND CAST(malo_id AS BIGINT) % 2 = 0 AND k > 12)
+  UNION ALL
+  SELECT malo_id, obis_code, sparte, quality, "from" + to_minutes(15 * k), 'PT15M', 15 FROM resolved, (SELECT unnest(range(50, 90)) AS k)
+  WHERE obis_code = '1-0:1.8.0' AND "from" = TIMESTAMP '2024-01-10' AND CAST(malo_id AS BIGINT) % 2 = 0
+), r AS (
+  SELECT *, CAST(CASE WHEN sparte = 'GAS' THEN f - INTERVAL 5 HOUR ELSE f + INTERVAL 1 HOUR END AS DATE) AS day FROM h WHERE f >= TIMESTAMP '2024-01-09' AND f < TIMESTAMP '2024-01-13'
+), p AS (
+  SELECT s.sparte, day, greatest(a, TIMESTAMP '2024-01-09') AS lo, least(a + INTERVAL 1 DAY, TIMESTAMP '2024-01-13') AS hi
+  FROM (SELECT DISTINCT sparte FROM r) s, (SELECT CAST(unnest(range(DATE '2024-01-08', DATE '2024-01-14', INTERVAL 1 DAY)) AS DATE) AS day), LATERAL (SELECT CAST(day AS TIMESTAMP) + CASE WHEN s.sparte = 'GAS' THEN INTERVAL 5 HOUR ELSE INTERVAL (-1) HOUR END AS a)
+  WHERE a < TIMESTAMP '2024-01-13' AND a + INTERVAL 1 DAY > TIMESTAMP '2024-01-09'
+), due AS (
+  SELECT sparte, day, lo, hi, grid, CAST(date_diff('minute', lo, hi) // m AS BIGINT) AS expected FROM p, (VALUES ('PT1H', 60), ('PT15M', 15)) g(grid, m)
+), d AS (
+  SELECT malo_id, sparte, day, count(DISTINCT grid) AS grids, min(grid) AS first_grid, first(grid ORDER BY f DESC, grid DESC) AS closing FROM r GROUP BY ALL
+), slots AS (
+  SELECT malo_id, r.sparte, r.day, unnest(range(greatest(f, lo), least(f + to_minutes(m), hi), INTERVAL 15 MINUTE)) AS slot FROM r JOIN p ON p.sparte = r.sparte AND p.day = r.day
+), judged AS (
+  SELECT d.malo_id, d.sparte, d.day, closing AS grid, any_value(expected) AS expected, any_value(expected) - count(DISTINCT slot) AS missing, count(slot) - count(DISTINCT slot) AS surplus
+  FROM d JOIN due e ON e.sparte = d.sparte AND e.day = d.day AND e.grid = 'PT15M' JOIN slots s ON s.malo_id = d.malo_id AND s.sparte = d.sparte AND s.day = d.day WHERE grids > 1 GROUP BY ALL
+  UNION ALL
+  SELECT r.malo_id, r.sparte, r.day, r.grid, any_value(expected), greatest(any_value(expected) - count(*), 0), greatest(count(*) - any_value(expected), 0)
+  FROM r JOIN d ON d.malo_id = r.malo_id AND d.sparte = r.sparte AND d.day = r.day AND grids = 1 JOIN due e ON e.sparte = r.sparte AND e.day = r.day AND e.grid = r.grid GROUP BY ALL
+  UNION ALL
+  SELECT c.malo_id, c.sparte, e.day, e.grid, expected, expected, 0
+  FROM (SELECT DISTINCT malo_id, sparte FROM d) c JOIN due e ON e.sparte = c.sparte
+  WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.malo_id = c.malo_id AND d.sparte = c.sparte AND d.day = e.day)
+    AND e.grid = coalesce((SELECT arg_max(closing, day) FROM d WHERE d.malo_id = c.malo_id AND d.sparte = c.sparte AND d.day < e.day), (SELECT arg_min(first_grid, day) FROM d WHERE d.malo_id = c.malo_id AND d.sparte = c.sparte))
+), sums AS (
+  SELECT malo_id, sparte, grid, sum(expected) AS expected, sum(missing) AS missing, sum(surplus) AS surplus, min(CASE WHEN missing > 0 THEN day END) AS first_gap FROM judged WHERE expected > 0 GROUP BY ALL
+), t AS (
+  SELECT malo_id, obis_code, sparte, grid AS resolution, count(*) AS actual, count(*) FILTER (quality = 'SUBSTITUTED') AS substituted, count(*) FILTER (quality NOT IN ('MEASURED', 'SUBSTITUTED')) AS not_billable FROM r GROUP BY ALL
+), report AS (
+  SELECT t.*, coalesce(expected, 0) AS expected, coalesce(missing, 0) AS missing, coalesce(surplus, 0) AS surplus, first_gap FROM t LEFT JOIN sums s ON s.malo_id = t.malo_id AND s.sparte = t.sparte AND s.grid = t.resolution
+)
+"""
+
+
+@query(f"{_MIXED} SELECT malo_id, obis_code, sparte, resolution, {_FLAGS} FROM report")
 def completeness_mixed_grid(spark, folder):
-    """Half of the points move from a daily to an hourly grid at noon of day 10."""
+    """Hours of one channel; half of the points change to quarter-hours on day 10, with an overlap and gaps."""
     rows = resolved(spark, folder).filter("obis_code = '1-0:1.8.0'")
-    hours = rows.filter((F.col("from") == F.lit(day(10))) & (F.col("malo_id") % 2 == 0)).withColumn("hour", F.explode(F.sequence(F.lit(12), F.lit(22))))
-    hours = hours.withColumns({"from": F.expr("`from` + make_dt_interval(0, hour)"), "resolution": F.lit("PT1H")}).drop("hour")
-    return completeness(rows.unionByName(hours), day(9), day(13))
+    changed = (F.col("from") == F.lit(day(10))) & (F.col("malo_id").cast("long") % 2 == 0)
+    hours = rows.withColumn("hour", F.explode(F.sequence(F.lit(0), F.when(changed, 12).otherwise(23)))).withColumns({"from": F.expr("`from` + make_dt_interval(0, hour)"), "resolution": F.lit("PT1H")}).drop("hour")
+    quarters = rows.filter(changed).withColumn("quarter", F.explode(F.sequence(F.lit(50), F.lit(89)))).withColumns({"from": F.expr("`from` + make_dt_interval(0, 0, 15 * quarter)"), "resolution": F.lit("PT15M")}).drop("quarter")
+    return completeness(hours.unionByName(quarters), day(9), day(13))
 
 
 @query(
@@ -302,11 +362,20 @@ def displacement_effects(spark, folder):
     return report.groupBy("effect").agg(F.count("*").alias("n"), F.sum("prior_value").cast("decimal(28,6)").alias("prior"))
 
 
-@query(f"SELECT count(*) AS n, {TOTAL} FROM versions WHERE version % 5 <> 0 AND version % 2 = 0")
+@query(f"SELECT count(*) AS n, {TOTAL} FROM versions WHERE version % 5 <> 0")
 def cold_reconcile_dedup(spark, folder):
+    """A fifth of the versions is stored; all come in, a quarter of them twice."""
     rows = readings(spark, folder)
-    stored, incoming = rows.filter(F.col("version") % 5 == 0), rows.filter(F.col("version") % 2 == 0)
-    return total(writes.new_rows(stored, incoming.unionByName(incoming.filter(F.col("version") % 4 == 0)), CONFIG))
+    return total(writes.new_rows(rows.filter(F.col("version") % 5 == 0), rows.unionByName(rows.filter(F.col("version") % 4 == 0)), CONFIG))
+
+
+@query("SELECT malo_id, obis_code, CAST(\"from\" AS DATE) AS day, CAST(version AS BIGINT) AS version, value AS one, value + 1 AS other FROM versions WHERE version % 9 = 0")
+def contradictory_check(spark, folder):
+    """A delivery that gives every ninth version a second value, and repeats every fourth as it is."""
+    rows = readings(spark, folder)
+    second = rows.filter(F.col("version") % 9 == 0).withColumn("value", (F.col("value") + 1).cast("decimal(18,6)"))
+    found = writes.contradictory(rows.unionByName(second).unionByName(rows.filter(F.col("version") % 4 == 0)), CONFIG)
+    return found.select("malo_id", "obis_code", F.to_date("from").alias("day"), F.col("version").cast("long").alias("version"), F.col("one.value").alias("one"), F.col("other.value").cast("decimal(19,6)").alias("other"))
 
 
 @query("SELECT malo_id, obis_code, CAST(\"from\" AS DATE) AS day, value + 1 AS value, value AS stored_value FROM versions WHERE version % 7 = 0")
@@ -352,6 +421,80 @@ def series_ordered(spark, folder):
     return resolved(spark, folder).select("malo_id", "obis_code", F.to_date("from").alias("day"), place.alias("place"), "value")
 
 
+# The same over a stored table: both tiers, archived, with late corrections ----
+
+STORED = TableConfig("stored", step=timedelta(days=7))
+#: Windows of seven days that have ended a week before are archived, so the boundary is day 25.
+ARCHIVED = day(32)
+_built: dict[tuple[str, str], tuple[Store, DataFrame, int]] = {}
+
+
+def stored(spark: SparkSession, folder: str) -> tuple[Store, DataFrame, int]:
+    """A table with half of the versions, archived, and then the other half appended; what that displaced; the snapshot before it.
+
+    It is built once for an application, in the folder that all executors share.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _built:
+        rows = readings(spark, folder)
+        store = Store(spark, STORED, f"{checkpoint_folder(spark)}/tidewatt-queries-{uuid.uuid4().hex}")
+        store.append(rows.filter(F.col("version") % 2 == 0))
+        store.catch_up(ARCHIVED)
+        before = store.tiers.latest().id
+        _built[key] = store, store.append(rows.filter(F.col("version") % 2 == 1)), before
+    return _built[key]
+
+
+def _stored(name: str, statement: str, sql: str, view=lambda store, before: store) -> None:
+    def run(spark, folder):
+        store, _, before = stored(spark, folder)
+        return view(store, before).sql(statement).df
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_SUM = "SELECT count(*) AS n, CAST(sum(value) AS DECIMAL(28,6)) AS total FROM stored"
+_BEST = "QUALIFY row_number() OVER (PARTITION BY malo_id, obis_code, \"from\", version_scope ORDER BY version DESC, recorded_at DESC) = 1"
+_bounds = "`from` >= TIMESTAMP '2024-01-{:02}' AND `from` < TIMESTAMP '2024-01-{:02}'"
+
+_stored("stored_sum", _SUM, f"SELECT count(*) AS n, {TOTAL} FROM resolved")
+_stored("stored_versions", "SELECT sparte, count(*) AS n FROM stored_versions GROUP BY sparte", "SELECT sparte, count(*) AS n FROM versions GROUP BY sparte")
+for _name, _start, _end in (("stored_cold_range", 5, 10), ("stored_hot_range", 26, 29), ("stored_both_tiers", 22, 28)):
+    _where = _bounds.format(_start, _end)
+    _stored(_name, f"SELECT balancing_day, sparte, count(*) AS n, CAST(sum(value) AS DECIMAL(28,6)) AS total FROM stored WHERE {_where} GROUP BY 1, 2", f"SELECT balancing_day, sparte, count(*) AS n, {TOTAL} FROM resolved WHERE {_where.replace('`', chr(34))} GROUP BY 1, 2")
+_stored("stored_as_of", _SUM, f"SELECT count(*) AS n, {TOTAL} FROM (SELECT * FROM versions WHERE version % 2 = 0 AND \"from\" < TIMESTAMP '2024-01-25' {_BEST})", lambda store, before: store.as_of(before))
+_stored("stored_as_of_ceiling", _SUM, f"SELECT count(*) AS n, {TOTAL} FROM (SELECT * FROM versions WHERE version <= 20240101000500 AND \"from\" < TIMESTAMP '2024-01-25' {_BEST})", lambda store, _: store.as_of(store.tiers.latest().id, 20240101000500))
+_stored("stored_as_known_at", _SUM, f"SELECT count(*) AS n, {TOTAL} FROM (SELECT * FROM versions WHERE recorded_at <= TIMESTAMP '2024-01-15' {_BEST})", lambda store, _: store.as_known_at(day(15)))
+_stored("stored_scoped", _SUM, f"SELECT count(*) AS n, {TOTAL} FROM resolved WHERE obis_code = '1-0:2.8.0'", lambda store, _: store.scoped("obis_code", "1-0:2.8.0"))
+_stored("stored_historical", _SUM, f"SELECT count(*) AS n, {TOTAL} FROM resolved WHERE \"from\" < TIMESTAMP '2024-01-25'", lambda store, _: store.in_read_mode(ReadMode.HISTORICAL))
+_stored("stored_operational", _SUM, f"SELECT count(*) AS n, {TOTAL} FROM resolved WHERE \"from\" >= TIMESTAMP '2024-01-25'", lambda store, _: store.in_read_mode(ReadMode.OPERATIONAL))
+_stored("stored_report", "SELECT * FROM meter_completeness(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-27')", f"SELECT malo_id, obis_code, sparte, resolution, {_FLAGS} FROM ({_ROLLUP})")
+_stored("stored_healthy", "SELECT watermark = TIMESTAMP '2024-01-25' AS at_day_25, healthy, invariant_violations AS violations FROM system_tables", "SELECT true AS at_day_25, true AS healthy, CAST(0 AS BIGINT) AS violations", lambda store, _: store)
+
+
+@query(
+    f"""SELECT effect, count(*) AS n, CAST(sum(prior) AS DECIMAL(28,6)) AS prior FROM (
+  SELECT CASE WHEN o IS NULL THEN 'inserted' WHEN version > o THEN 'superseded' ELSE 'shadowed' END AS effect, CASE WHEN version > o THEN ov END AS prior FROM (
+    SELECT *, max(version) OVER w AS o, arg_max(value, version) OVER w AS ov FROM versions WINDOW w AS (PARTITION BY malo_id, obis_code, "from", version_scope ORDER BY (version % 2 = 1), version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  WHERE version % 2 = 1) GROUP BY effect"""
+)
+def stored_late_corrections(spark, folder):
+    """What appending the other half of the versions displaced, most of it in the archived tier."""
+    report = stored(spark, folder)[1]
+    return report.groupBy("effect").agg(F.count("*").alias("n"), F.sum("prior_value").cast("decimal(28,6)").alias("prior"))
+
+
+@query("SELECT a.sparte, count(*) AS n, CAST(sum(a.value - b.value) AS DECIMAL(28,6)) AS change FROM resolved a JOIN (SELECT * FROM versions WHERE obis_code = '1-0:1.8.0' AND version % 3 = 0 " + _BEST + ") b ON a.malo_id = b.malo_id AND a.obis_code = b.obis_code AND a.\"from\" = b.\"from\" WHERE a.\"from\" >= TIMESTAMP '2024-01-05' AND a.\"from\" < TIMESTAMP '2024-01-12' GROUP BY a.sparte")
+def stored_two_tables(spark, folder):
+    """Two tables with boundaries of their own in one statement; each is read over the range that it needs."""
+    store = stored(spark, folder)[0]
+    other = Store(spark, TableConfig("thirds", step=timedelta(days=7)), f"{checkpoint_folder(spark)}/tidewatt-queries-{uuid.uuid4().hex}")
+    other.append(readings(spark, folder).filter((F.col("obis_code") == "1-0:1.8.0") & (F.col("version") % 3 == 0)))
+    statement = "SELECT a.sparte, count(*) AS n, CAST(sum(a.value - b.value) AS DECIMAL(28,6)) AS change FROM stored a JOIN thirds b ON a.malo_id = b.malo_id AND a.obis_code = b.obis_code AND a.`from` = b.`from` WHERE a.`from` >= TIMESTAMP '2024-01-05' AND a.`from` < TIMESTAMP '2024-01-12' GROUP BY a.sparte"
+    return Catalog((store, other)).sql(statement).df
+
+
 # Generic SQL over several tables ---------------------------------------------
 
 

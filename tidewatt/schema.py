@@ -35,17 +35,24 @@ READINGS = T.StructType(
 )
 #: Units in which a commodity is measured or billed.
 UNITS = {"STROM": ("KWH",), "GAS": ("KWH", "M3"), "WAERME": ("KWH",), "WASSER": ("M3",)}
+#: Identifiers that a declared column can be checked for.
+CHECKED = re.compile(r"(MALO|MELO|BDEW|EIC(:[XYZWTVA])?)\Z")
 IDENTIFIER = re.compile(r"[a-z_][a-z0-9_]{0,62}\Z")
 
 
 @dataclass(frozen=True)
 class Extra:
-    """A declared text column; an identity column joins the key and is never null."""
+    """A declared text column; an identity column joins the key and is never null.
+
+    ``codes`` lists what it may hold; ``check`` names the identifier that it
+    must be: MALO, MELO, BDEW, EIC, or EIC and a type as in ``EIC:X``.
+    """
 
     name: str
     nullable: bool = True
     identity: bool = False
     codes: tuple[str, ...] = ()
+    check: str | None = None
 
 
 @dataclass(frozen=True)
@@ -74,6 +81,8 @@ class TableConfig:
                 problems.append(f"column name {extra.name!r} is not a lower-case identifier")
             if extra.name in names:
                 problems.append(f"column {extra.name} is there already")
+            if extra.check is not None and not CHECKED.match(extra.check):
+                problems.append(f"column {extra.name} has an unknown check {extra.check!r}")
             if extra.identity and extra.nullable:
                 problems.append(f"identity column {extra.name} may not be null")
             names.append(extra.name)

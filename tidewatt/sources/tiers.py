@@ -1,9 +1,12 @@
-"""The two tiers: immutable Parquet files under a manifest, and the window directories above it.
-
-Everything goes through Spark and Hadoop's file system, so a table can lie on
-any store that Spark reads.  A snapshot is one small JSON file that names its
-cold files and the watermark; creating the next number is the commit, and only
-one writer can create it.
+"""The two tiers: partitioned Parquet written by Spark, and a log of small commits.
+
+Both tiers are folders that Spark partitions: the historical one by identity
+columns and month, the recent one by archival window.  A commit names the
+folders that one write added, with the counts and bounds that Spark observed
+while it wrote, and the watermark; creating the next number is what commits
+it, for both tiers at once.  A snapshot is a commit's number: all commits up
+to it.  Everything goes through Spark and Hadoop's file system, so a table can
+lie on any store that Spark reads.
 """
 
 from __future__ import annotations
@@ -11,17 +14,30 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import asdict, dataclass
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..checkpoints import empty
-from ..errors import BoundaryMoved
+from ..errors import BoundaryMoved, ConfigError
+from ..operators.evolution import Change, require_compatible
 from ..plans.resolve import FileStats
-from ..plans.timerange import EPOCH, TimeRange
+from ..plans.timerange import EPOCH, TICK, TimeRange
 from ..schema import TableConfig
 
+#: Row groups, pages and encodings of the historical tier: bloom filters for identifiers, delta-packed times and numbers.
+WRITING = {
+    "compression": "zstd",
+    "parquet.writer.version": "v2",
+    "parquet.block.size": str(128 << 20),
+    "parquet.page.row.count.limit": "20000",
+    "parquet.bloom.filter.enabled#malo_id": "true",
+    "parquet.bloom.filter.enabled#obis_code": "true",
+}
+WINDOW = "yyyyMMddHHmm"
+
 
 class Files:
     """Hadoop's file system at one root."""
@@ -64,127 +80,166 @@ class Files:
 
 
 @dataclass(frozen=True)
-class ColdFile:
-    """A written folder of Parquet files, with what resolution needs to know about it."""
+class Part:
+    """A folder that one write added to a tier, with what Spark saw while it wrote."""
 
-    name: str
+    folder: str
     rows: int
-    versions: tuple[int, int] | None
-    starts: tuple[str, str] | None
+    versions: tuple[int, int]
+    starts: tuple[str, str]
+
+    @property
+    def bounds(self) -> tuple[datetime, datetime]:
+        return tuple(datetime.fromisoformat(s) for s in self.starts)
 
     @property
     def stats(self) -> FileStats:
-        return FileStats(tuple(self.versions) if self.versions else None, tuple(datetime.fromisoformat(s) for s in self.starts) if self.starts else None)
+        return FileStats(tuple(self.versions), self.bounds)
 
     def meets(self, range_: TimeRange) -> bool:
-        if not self.starts:
-            return True
-        low, high = self.stats.starts
+        low, high = self.bounds
         return (range_.end is None or low < range_.end) and (range_.start is None or high >= range_.start)
 
 
 @dataclass(frozen=True)
 class Snapshot:
+    """A commit, and with it the table as of it."""
+
     id: int
     committed_at: str
     watermark: str
-    files: tuple[ColdFile, ...]
     operation: str
+    cold: Part | None = None
+    hot: Part | None = None
 
     @property
     def boundary(self) -> datetime:
         return datetime.fromisoformat(self.watermark)
 
+    @classmethod
+    def parse(cls, text: str) -> Snapshot:
+        raw = json.loads(text)
+        return cls(**raw | {tier: Part(**raw[tier]) if raw[tier] else None for tier in ("cold", "hot")})
+
 
 class Tiers:
     """The stored data of one table."""
 
     def __init__(self, spark: SparkSession, root: str, config: TableConfig):
+        if (zone := spark.conf.get("spark.sql.session.timeZone")) not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+            raise ConfigError(f"windows and months are cut in UTC, the session is in {zone}")
         self.spark, self.config = spark, config
         self.files = Files(spark, f"{root.rstrip('/')}/{config.name}")
-        if not self.files.exists("manifest"):
-            self.commit(None, (), EPOCH, "create")
-
-    # Snapshots
-
-    def snapshots(self) -> list[Snapshot]:
-        out = []
-        for name in self.files.names("manifest"):
-            if name.endswith(".json"):
-                raw = json.loads(self.files.read(f"manifest/{name}"))
-                out.append(Snapshot(raw["id"], raw["committed_at"], raw["watermark"], tuple(ColdFile(**f) for f in raw["files"]), raw["operation"]))
-        return sorted(out, key=lambda s: s.id)
+        self.identity = [e.name for e in config.extras if e.identity]
+        self.changes = self._evolve()
+        if not self.files.exists("commits"):
+            self.commit(None, EPOCH, "create")
+
+    def _evolve(self) -> list[Change]:
+        """Compare the stored schema with the configured one and store that, unless they cannot be reconciled."""
+        names = self.files.names("schema")
+        stored = T.StructType.fromJson(json.loads(self.files.read(f"schema/{names[-1]}"))) if names else None
+        changes = require_compatible(stored, self.config.schema) if stored else []
+        if stored is None or changes:
+            self.files.create(f"schema/{len(names):06d}.json", self.config.schema.json())
+        return changes
+
+    # Commits
+
+    def snapshots(self, upto: Snapshot | None = None) -> list[Snapshot]:
+        """All commits in order, up to one; Spark reads the log as a table of lines."""
+        lines = self.spark.read.text(f"{self.files.root}/commits").collect()
+        found = sorted((Snapshot.parse(r.value) for r in lines), key=lambda s: s.id)
+        return [s for s in found if upto is None or s.id <= upto.id]
 
     def latest(self) -> Snapshot:
-        names = [n for n in self.files.names("manifest") if n.endswith(".json")]
-        raw = json.loads(self.files.read(f"manifest/{names[-1]}"))
-        return Snapshot(raw["id"], raw["committed_at"], raw["watermark"], tuple(ColdFile(**f) for f in raw["files"]), raw["operation"])
+        return Snapshot.parse(self.files.read(f"commits/{self.files.names('commits')[-1]}"))
 
-    def at(self, when: datetime) -> Snapshot:
+    def at(self, when: datetime) -> Snapshot | None:
         """The last snapshot committed by then."""
-        return [s for s in self.snapshots() if datetime.fromisoformat(s.committed_at) <= when][-1]
+        return next((s for s in reversed(self.snapshots()) if datetime.fromisoformat(s.committed_at) <= when), None)
 
-    def commit(self, base: Snapshot | None, files: tuple[ColdFile, ...], watermark: datetime, operation: str) -> Snapshot:
-        """Add the next snapshot; fails if another writer was first."""
+    def commit(self, base: Snapshot | None, watermark: datetime, operation: str, cold: Part | None = None, hot: Part | None = None) -> Snapshot:
+        """Add the next commit; fails if another writer was first, and then takes what it wrote away again."""
         number = base.id + 1 if base else 0
-        new = Snapshot(number, datetime.now(timezone.utc).isoformat(), watermark.isoformat(), files, operation)
-        if not self.files.create(f"manifest/{number:012d}.json", json.dumps(asdict(new))):
-            raise BoundaryMoved(f"snapshot {number} was committed by another writer")
+        new = Snapshot(number, datetime.now(timezone.utc).isoformat(), watermark.isoformat(), operation, cold, hot)
+        if not self.files.create(f"commits/{number:012d}.json", json.dumps(asdict(new))):
+            for part in filter(None, (cold, hot)):
+                self.files.delete(part.folder)
+            raise BoundaryMoved(f"commit {number} was made by another writer")
         return new
 
-    # Cold
-
-    def write_cold(self, df: DataFrame) -> ColdFile:
-        """Write sorted, compressed files with bloom filters for the identifiers, and measure them."""
-        name = f"cold/{uuid.uuid4().hex}"
-        options = {"compression": "zstd", "parquet.bloom.filter.enabled#malo_id": "true", "parquet.bloom.filter.enabled#obis_code": "true"}
-        df.repartition("malo_id").sortWithinPartitions("malo_id", "from").write.options(**options).parquet(f"{self.files.root}/{name}")
-        got = self.spark.read.schema(self.config.schema).parquet(f"{self.files.root}/{name}").agg(F.count("*").alias("n"), F.min("version").alias("a"), F.max("version").alias("b"), F.unix_micros(F.min("from")).alias("c"), F.unix_micros(F.max("from")).alias("d")).first()
-        at = lambda micros: datetime.fromtimestamp(micros / 1_000_000, timezone.utc).isoformat()
-        return ColdFile(name, got.n, (int(got.a), int(got.b)) if got.n else None, (at(got.c), at(got.d)) if got.n else None)
-
-    def cold(self, spark: SparkSession, snapshot: Snapshot, range_: TimeRange) -> tuple[DataFrame, list[ColdFile]]:
-        """The snapshot's files that can hold a start in the range; older files lack newer columns."""
-        files = [f for f in snapshot.files if f.rows and f.meets(range_)]
-        if not files:
-            return empty(spark, self.config.schema), []
-        return spark.read.schema(self.config.schema).parquet(*(f"{self.files.root}/{f.name}" for f in files)), files
+    def kept(self, now: datetime) -> list[Snapshot]:
+        """Snapshots that may still be asked for: those of the retention, and the last ones.
+
+        The log itself is never cut, so the chain of watermarks stays whole.
+        """
+        found = self.snapshots()
+        return [s for s in found[: -self.config.keep_snapshots] if datetime.fromisoformat(s.committed_at) >= now - self.config.snapshot_retention] + found[-self.config.keep_snapshots :]
+
+    # Writing
+
+    def write(self, df: DataFrame, tier: str) -> Part | None:
+        """Write rows to a new folder of a tier; None, and no folder, if there are none."""
+        if not df.limit(1).count():
+            return None
+        folder, seen, micros = f"{tier}/part={uuid.uuid4().hex}", Observation(), F.unix_micros("from")
+        if tier == "cold":
+            keys = [*self.identity, "month"]
+            rows = df.withColumn("month", F.date_format("from", "yyyy-MM")).repartition(*keys, "malo_id").sortWithinPartitions(*keys, "malo_id", "from")
+        else:
+            keys, seconds = ["window_start"], int(self.config.step.total_seconds())
+            rows = df.withColumn("window_start", F.date_format(F.timestamp_seconds(F.floor(F.col("from").cast("long") / seconds) * seconds), WINDOW))
+            rows = rows.sortWithinPartitions("window_start", "malo_id", "from")
+        rows = rows.observe(seen, F.count("*").alias("n"), F.min("version").alias("a"), F.max("version").alias("b"), F.min(micros).alias("c"), F.max(micros).alias("d"))
+        rows.write.options(**WRITING if tier == "cold" else {"compression": "zstd"}).partitionBy(*keys).parquet(f"{self.files.root}/{folder}")
+        got = seen.get
+        at = lambda micros: (EPOCH + timedelta(microseconds=micros)).isoformat()
+        return Part(folder, got["n"], (int(got["a"]), int(got["b"])), (at(got["c"]), at(got["d"])))
+
+    # Reading
+
+    def parts(self, log: list[Snapshot], tier: str, range_: TimeRange) -> list[Part]:
+        """The parts of a tier that can hold a start in the range."""
+        return [p for s in log if (p := getattr(s, tier)) and p.meets(range_)]
+
+    def read(self, spark: SparkSession, parts: list[Part], tier: str, range_: TimeRange) -> DataFrame:
+        """Rows of the range; Spark prunes months or windows, and older parts lack newer columns."""
+        if not parts:
+            return empty(spark, self.config.schema)
+        column, form = ("month", "%Y-%m") if tier == "cold" else ("window_start", "%Y%m%d%H%M")
+        folders = T.StructType([*self.config.schema, T.StructField("part", T.StringType()), T.StructField(column, T.StringType())])
+        rows = spark.read.schema(folders).option("basePath", f"{self.files.root}/{tier}").parquet(*(f"{self.files.root}/{p.folder}" for p in parts))
+        if range_.start is not None:
+            rows = rows.filter(F.col(column) >= (range_.start if tier == "cold" else self.window(range_.start)).astimezone(timezone.utc).strftime(form))
+        if range_.end is not None:
+            rows = rows.filter(F.col(column) <= (range_.end - TICK).astimezone(timezone.utc).strftime(form))
+        return rows.filter(range_.filter()).select(*(f"`{n}`" for n in self.config.schema.names))
 
-    # Hot
+    # Windows
 
     def window(self, at: datetime) -> datetime:
         step = self.config.step
         return EPOCH + (at - EPOCH) // step * step
 
-    def append_hot(self, df: DataFrame) -> None:
-        seconds = int(self.config.step.total_seconds())
-        start = F.date_format(F.timestamp_seconds(F.floor(F.col("from").cast("long") / seconds) * seconds), "yyyyMMddHHmm")
-        df.withColumn("window_start", start).write.mode("append").partitionBy("window_start").parquet(f"{self.files.root}/hot")
-
-    def windows(self) -> list[datetime]:
-        found = [n.partition("=")[2] for n in self.files.names("hot") if n.startswith("window_start=")]
-        return [datetime.strptime(n, "%Y%m%d%H%M").replace(tzinfo=timezone.utc) for n in found]
-
-    def hot(self, spark: SparkSession, range_: TimeRange) -> DataFrame:
-        """Window folders that the range meets, pruned by name."""
-        wanted = [w for w in self.windows() if (range_.end is None or w < range_.end) and (range_.start is None or w + self.config.step > range_.start)]
-        if not wanted:
-            return empty(spark, self.config.schema)
-        return spark.read.schema(self.config.schema).parquet(*(f"{self.files.root}/hot/window_start={w:%Y%m%d%H%M}" for w in wanted))
-
-    def drop_windows(self, below: datetime) -> None:
-        for window in self.windows():
-            if window + self.config.step <= below:
-                self.files.delete(f"hot/window_start={window:%Y%m%d%H%M}")
-
-    def expire(self, now: datetime) -> int:
-        """Drop snapshots beyond the retention, but the last ones, and files that none names any more."""
-        kept = self.snapshots()
-        old = [s for s in kept[: -self.config.keep_snapshots] if datetime.fromisoformat(s.committed_at) < now - self.config.snapshot_retention]
-        for snapshot in old:
-            self.files.delete(f"manifest/{snapshot.id:012d}.json")
-        named = {f.name for s in kept if s not in old for f in s.files}
-        for name in {f.name for s in old for f in s.files} - named:
-            self.files.delete(name)
-        return len(old)
-
+    def windows(self, log: list[Snapshot]) -> dict[datetime, list[str]]:
+        """The windows of the recent tier, and the folders that hold them."""
+        out: dict[datetime, list[str]] = {}
+        for part in self.parts(log, "hot", TimeRange()):
+            for name in self.files.names(part.folder):
+                if name.startswith("window_start="):
+                    start = datetime.strptime(name.partition("=")[2], "%Y%m%d%H%M").replace(tzinfo=timezone.utc)
+                    out.setdefault(start, []).append(f"{part.folder}/{name}")
+        return out
+
+    def drop_windows(self, log: list[Snapshot]) -> int:
+        """Delete windows that are archived: those below the watermark, in parts committed before it rose above them."""
+        dropped = 0
+        for number, commit in enumerate(log):
+            boundary = max((s.boundary for s in log[number + 1 :]), default=EPOCH)
+            for start, folders in self.windows([commit]).items() if commit.hot and commit.hot.bounds[0] < boundary else ():
+                if start + self.config.step <= boundary:
+                    for folder in folders:
+                        self.files.delete(folder)
+                        dropped += 1
+        return dropped
