@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from .shared import stage
 
 
-def _staged(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+#: Edges of a file; a round has about as many as the one before.
+EDGES = 200_000
+
+
+def _staged(edges: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, tuple]:
     """The edges, written, and a count and a sum that tell them from other edges; both come with the writing."""
     seen = Observation()
-    rows = stage(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")), name)
-    return rows, (seen.get["n"], seen.get["hash"])
+    out = stage(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")), name, rows=rows, rows_per_file=EDGES)
+    return out, (seen.get["n"], seen.get["hash"])
 
 
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -30,11 +34,11 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = stage(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star")
+        large = stage(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star", rows=state[0], rows_per_file=EDGES)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         before = state
-        edges, state = _staged(small.filter("u <> v").distinct(), "small-star")
+        edges, state = _staged(small.filter("u <> v").distinct(), "small-star", 2 * state[0])
         if state == before:
             break
     else:

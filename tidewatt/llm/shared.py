@@ -45,9 +45,12 @@ def staging_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
+def stage(df: DataFrame, name: str, *, rows: int | None = None, rows_per_file: int = 20_000, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
+    With ``rows``, about as many as there will be, files and the tasks that
+    write them are no more than these rows need, whatever the shuffles use.
+
     The table cuts the lineage: whatever reads it survives the loss of
     executors, and ids or orders that the first run gave stay as they are.
     Nulls, repeated rows and empty tables come back as they are; columns need
@@ -55,7 +58,8 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = staging_folder(spark, name)
-    df.write.mode("append").options(**options).parquet(path)
+    files = df if rows is None else df.coalesce(max(1, -(-rows // rows_per_file)))
+    files.write.mode("append").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -313,17 +313,17 @@ def fingerprint_links(nodes: DataFrame, radius: int) -> DataFrame:
         rows = stage(rows, "deeper-node-pairs")
 
 
-def alike_links(nodes: DataFrame, rows: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
+def alike_links(nodes: DataFrame, rows: DataFrame, words: int, radius: int, similarity: float, count: int) -> DataFrame:
     """Edges ``u, v`` between nodes of similar shingle sets, found by tries of those that share a least shingle.
 
     The keys of a node are its ``least_shingles``.  Two large sets of similarity
     s share none of them with a chance of (1 - s)^8, 2.6 in a million at 0.8;
     short ones always share one.  The nodes of a key make one trie, and a link
     needs the exact similarity of the sets.  ``rows`` are the texts; their sets
-    go only to the keys that nodes share.
+    go only to the keys that nodes share.  ``count`` is about how many nodes there are.
     """
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = stage(keyed.join(keyed.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi"), "shared-keys")
+    shared = stage(keyed.join(keyed.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi"), "shared-keys", rows=count)
     needed = rows.select("node", "text").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +331,7 @@ def alike_links(nodes: DataFrame, rows: DataFrame, words: int, radius: int, simi
             found = [np.unique(shingle_hashes(text, words)).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
 
-    sets = stage(map_arrow(needed, shingles, "node long, shingles binary"), "shingle-sets")
+    sets = stage(map_arrow(needed, shingles, "node long, shingles binary"), "shingle-sets", rows=4 * count)
     full = F.greatest(F.lit(1.0), F.col("size") * (SPLIT / HELD))
     sizes = sets.select("node", (F.octet_length("shingles") / 8).alias("size"))
     keys = _chunked(shared.join(sizes, "node"), ["key"], SPLIT, full).select("node", "key", "i", "j", "side")
@@ -411,8 +411,10 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, words: int, radius: int,
     kind = df.schema[id_col].dataType.simpleString()
     rows = texts(df, id_col, text_col)
     rows = rows if exact else rows.withColumn("node", F.xxhash64("text"))
-    prints = stage(map_arrow(rows, task, f"doc_id {kind}, fp long, node long, sketch binary, keys array<long>"), "fingerprints")
-    nodes = stage(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), *([] if exact else [F.first("sketch").alias("sketch"), F.first("keys").alias("keys")])), "fingerprint-nodes")
-    parts = connected_components(fingerprint_links(nodes, radius) if exact else alike_links(nodes, rows, words, max(radius, alike_radius(similarity)), similarity))
+    seen = Observation()
+    prints = stage(map_arrow(rows, task, f"doc_id {kind}, fp long, node long, sketch binary, keys array<long>").observe(seen, F.count("*").alias("n")), "fingerprints")
+    count = seen.get["n"]
+    nodes = stage(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), *([] if exact else [F.first("sketch").alias("sketch"), F.first("keys").alias("keys")])), "fingerprint-nodes", rows=count)
+    parts = connected_components(fingerprint_links(nodes, radius) if exact else alike_links(nodes, rows, words, max(radius, alike_radius(similarity)), similarity, count))
     named = nodes.select("node", "low").join(parts, "node", "left").select("node", "low", F.coalesce("component", "node").alias("part"))
     return prints, named
